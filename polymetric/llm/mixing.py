@@ -75,7 +75,7 @@ def thresholds(narrow: DataFrame, plan: DataFrame) -> DataFrame:
             .select(F.col("s").alias("es"), F.col("e.bucket").alias("bucket"), (F.col("e.upto") - F.col("e.words")).alias("gone"), F.col("e.words").alias("words"), F.col("e.n").alias("n"))
         )
         state = materialize(
-            state.join(edge, state["source"].eqNullSafe(edge["es"]), "left").select(
+            state.drop("words", "n").join(edge, state["source"].eqNullSafe(edge["es"]), "left").select(
                 "source", "source_size", "target", "copies",
                 (F.col("left") - F.coalesce("gone", F.lit(0))).alias("left"),
                 # No boundary here: the source holds no more than its budget.
