@@ -19,16 +19,21 @@ from .common import materialize, ship, text_or_empty, without
 
 #: A language's dictionary: at most so many bytes, from at most so many texts,
 #: at most so many bytes of each.
-DICT_BYTES, DICT_TEXTS, TEXT_BYTES = 96 << 10, 256, 2048
+DICT_BYTES, DICT_TEXTS, TEXT_BYTES = 128 << 10, 512, 512
 #: Languages learned at most, the most frequent ones; their dictionaries are held by each worker.
 MOST_LANGS = 512
-LEVEL = 1
+LEVEL = 6
 UNKNOWN = "und"
 letter = re.compile(r"[^\W\d_]").search
 
 
+def fold(text: str) -> bytes:
+    """What is compressed: lower case, so that capitals match, between spaces."""
+    return f" {text.lower()} ".encode("utf-8", "replace")
+
+
 def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
-    """Dictionaries by language, from the rows with the smallest hashes of each language.
+    """Dictionaries by language, the most frequent one first, from the rows with the smallest hashes of each.
 
     Rows with a null language or an empty text teach nothing.  The sample is
     bounded by the parameters above, whatever the table's size.
@@ -37,20 +42,19 @@ def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     h = F.xxhash64(F.lit(10), F.col(key).cast("string"), F.xxhash64(text))
     ranked = rows.select(F.col(lang).alias("lang"), h.alias("h"))
     some = ranked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= DICT_TEXTS).select("lang", "h").distinct()
-    frequent = ranked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).select("lang")
-    chosen = materialize(some.join(F.broadcast(frequent), "lang"), "lang-sample")
+    frequent = [r["lang"] for r in ranked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()]
+    chosen = materialize(some.where(F.col("lang").isin(frequent)), "lang-sample")
     body = rows.select(F.col(lang).alias("lang"), h.alias("h"), F.substring(text, 1, TEXT_BYTES).alias("t"))
     texts = materialize(body.join(F.broadcast(chosen), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]), "lang-texts")
-    out: dict[str, list[bytes]] = {}
+    out: dict[str, list[bytes]] = {k: [] for k in frequent}
     for r in texts.orderBy("lang", "h").toLocalIterator():
-        out.setdefault(r["lang"], []).append(r["t"].encode()[:TEXT_BYTES])
-    # zstandard finds what lies at a dictionary's end most cheaply; the order is that of the hashes.
-    return {k: b"\n".join(v)[:DICT_BYTES] for k, v in out.items()}
+        out[r["lang"]].append(fold(r["t"])[:TEXT_BYTES])
+    return {k: b"".join(v)[:DICT_BYTES] for k, v in out.items()}
 
 
 class Classifier:
     def __init__(self, contents: dict[str, bytes]):
-        self.langs = sorted(contents)
+        self.langs = list(contents)
         self.compress = []
         for lang in self.langs:
             d = zstandard.ZstdCompressionDict(contents[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -58,14 +62,15 @@ class Classifier:
             self.compress.append(zstandard.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False))
 
     def sizes(self, text: str) -> list[int]:
-        raw = text.encode("utf-8", "replace")
+        raw = fold(text)
         return [len(c.compress(raw)) for c in self.compress]
 
     def predict(self, text: str) -> tuple[str, float]:
         """The language and a score of 0 to 1: how much larger the second smallest is, as a share of it.
 
         A text without letters is of no language, with score 0; so is every
-        text if no language was learned.  Equal sizes go to the smaller name.
+        text if no language was learned.  Equal sizes go to the more frequent
+        language.
         """
         if not self.langs or not letter(text):
             return UNKNOWN, 0.0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .langid import langid_query
 from .mixing import MIX_SQL, mix_query
+from .packing import packing_query
 from .sharding import shard_query
 from .tokens import tokens_query
 from .urls import urls_query
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_token_counts": tokens_query,
     "op2_external_shuffle": shard_query,
     "op3_url_filter": urls_query,
+    "op5_best_fit_packing": packing_query,
     "op8_mixing": mix_query,
     "op10_language_id": langid_query,
 }
