@@ -5,6 +5,7 @@ from __future__ import annotations
 from .langid import langid_query
 from .mixing import MIX_SQL, mix_query
 from .packing import packing_query
+from .quality import quality_query
 from .sharding import shard_query
 from .tokens import tokens_query
 from .urls import urls_query
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_external_shuffle": shard_query,
     "op3_url_filter": urls_query,
     "op5_best_fit_packing": packing_query,
+    "op7_quality_rules": quality_query,
     "op8_mixing": mix_query,
     "op10_language_id": langid_query,
 }
