@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .langid import langid_query
 from .mixing import MIX_SQL, mix_query
+from .neighbours import neighbours_query
 from .packing import packing_query
 from .quality import quality_query
 from .sharding import shard_query
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_external_shuffle": shard_query,
     "op3_url_filter": urls_query,
     "op5_best_fit_packing": packing_query,
+    "op6_permutation_index": neighbours_query,
     "op7_quality_rules": quality_query,
     "op8_mixing": mix_query,
     "op10_language_id": langid_query,
