@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .jaccard import JACCARD_SQL, jaccard_query
 from .langid import langid_query
 from .mixing import MIX_SQL, mix_query
 from .neighbours import neighbours_query
@@ -19,7 +20,8 @@ QUERIES = {
     "op6_permutation_index": neighbours_query,
     "op7_quality_rules": quality_query,
     "op8_mixing": mix_query,
+    "op9_jaccard_join": jaccard_query,
     "op10_language_id": langid_query,
 }
 
-ORACLE_SQL = {"op8_mixing": MIX_SQL}
+ORACLE_SQL = {"op8_mixing": MIX_SQL, "op9_jaccard_join": JACCARD_SQL}
