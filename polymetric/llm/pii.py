@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -433,7 +433,7 @@ def find(df: DataFrame, text: str = "text", field: Field | None = None) -> DataF
     known = spark.sparkContext.broadcast((field, field.gap()))  # a few thousand numbers
 
     @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
-    def look(batches: Iterable[pd.Series]) -> Iterator[pd.DataFrame]:
+    def look(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model, gap = known.value
         cache: dict = {}
         for batch in batches:
