@@ -11,7 +11,8 @@ posts groups.  Links are verified on the whole sets in two steps:
    group's first class.  This is linear in the postings and joins most of a
    family of copies into one component;
 2. all pairs of groups in a posting that are still in different components,
-   less those that sizes or positions rule out, expanded to their classes.
+   less those that their sizes, or the number of prefix shingles they share,
+   rule out, expanded to their classes.
 
 A pair inside a component cannot change the components, so nothing is lost
 by leaving it out.
@@ -20,6 +21,7 @@ by leaving it out.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -62,27 +64,48 @@ class WordHashes(dict):
         return h
 
 
-def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text; of fewer than five words, the one of them all."""
-    words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: A-Z only, and the contract's white space
-    n = len(words)
-    if not n:
-        return np.empty(0, dtype=np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=n)
-    if n < WORDS:
-        return mixed((h * _K[:n]).sum(dtype=np.uint64, keepdims=True) + np.uint64(n))
-    m = n - WORDS + 1
-    s = h[:m] * _K[0]
-    for j in range(1, WORDS):
+def shingle_batch(texts: list[str | None], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Sets of texts, one after another, each sorted, and where they start and end.
+
+    A text's set has the hashes of its distinct shingles; of fewer than five
+    words, the one of them all; without words, none.  Bytes split at the
+    contract's white space and lower A to Z only.
+    """
+    words = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
+    lengths = np.array([len(w) for w in words], dtype=np.int64)
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), dtype=np.uint64, count=int(starts[-1]))
+    m = max(0, len(h) - WORDS + 1)
+    s = np.zeros(m, dtype=np.uint64)
+    for j in range(WORDS):
         s += h[j : j + m] * _K[j]
-    return np.unique(mixed(s))
+    s = mixed(s)
+    out = []
+    for n, at in zip(lengths.tolist(), starts.tolist()):
+        if n >= WORDS:
+            own = np.sort(s[at : at + n - WORDS + 1])
+            new = np.empty(len(own), dtype=bool)
+            new[0] = True
+            np.not_equal(own[1:], own[:-1], out=new[1:])
+            out.append(own[new])
+        elif n:
+            out.append(mixed((h[at : at + n] * _K[:n]).sum(dtype=np.uint64, keepdims=True) + np.uint64(n)))
+        else:
+            out.append(_EMPTY)
+    return np.concatenate([_EMPTY, *out]), np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64)
+
 
+_EMPTY = np.empty(0, dtype=np.uint64)
 
-def digest(s: np.ndarray) -> tuple[int, int]:
-    """128 bits that tell sets apart, as two signed longs."""
-    a = mixed(s ^ _K[0]).sum(dtype=np.uint64) + np.uint64(len(s))
-    b = mixed(s ^ _K[1]).sum(dtype=np.uint64)
-    return int(a.astype(np.int64)), int(b.astype(np.int64))
+
+def digests(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits a set that tell sets apart, as two signed longs."""
+    sums = []
+    for k in (_K[0], _K[1]):
+        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mixed(flat ^ k), dtype=np.uint64)])
+        sums.append(total[offsets[1:]] - total[offsets[:-1]])
+    sums[0] += np.diff(offsets).astype(np.uint64)
+    return sums[0].view(np.int64), sums[1].view(np.int64)
 
 
 def prefix_length(n: int) -> int:
@@ -121,15 +144,14 @@ def signatures(docs: DataFrame) -> DataFrame:
 
         for batch, texts in _rows(batches, 2):
             id_type = batch.column(0).type
-            n, c1, c2 = [], [], []
-            for t in texts:
-                s = shingles(t, hashes)
-                a, b = digest(s)
-                n.append(len(s)), c1.append(a), c2.append(b)
-                if (a, b) not in seen:  # copies of one set count once in a stretch
-                    seen.add((a, b))
-                    held.append(s)
-                    size += len(s)
+            flat, offsets = shingle_batch(texts, hashes)
+            c1, c2 = digests(flat, offsets)
+            for i, key in enumerate(zip(c1.tolist(), c2.tolist())):
+                if key not in seen:  # copies of one set count once in a stretch
+                    seen.add(key)
+                    held.append(flat[offsets[i] : offsets[i + 1]])
+                    size += len(held[-1])
+            n = np.diff(offsets)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), _i64(n), _i64(c1), _i64(c2), _i64(np.zeros(len(n), dtype=np.int64))],
                 names=["doc_id", "th", "n", "c1", "c2", "kind"],
@@ -148,36 +170,46 @@ def prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(hot)  # at most HOTTEST pairs
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
-        values, levels = known.value
+        hashes, seen, order = WordHashes(), set(), Order(*known.value)
         for _, texts in _rows(batches, 2):
-            c1, c2, n, first = [], [], [], []
-            for t in texts:
-                s = shingles(t, hashes)
-                key = digest(s)
-                if not len(s) or key in seen:
+            flat, offsets = shingle_batch(texts, hashes)
+            level = order.levels_of(flat)
+            c1, c2 = digests(flat, offsets)
+            new, first = [], [_EMPTY]
+            for i, key in enumerate(zip(c1.tolist(), c2.tolist())):
+                a, b = int(offsets[i]), int(offsets[i + 1])
+                if a == b or key in seen:
                     continue
                 if len(seen) < REMEMBERED:
                     seen.add(key)
-                c1.append(key[0]), c2.append(key[1]), n.append(len(s))
-                first.append(ordered(s, values, levels)[: prefix_length(len(s))].view(np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(p) for p in first])]).astype(np.int32)
-            flat = np.concatenate(first) if first else np.empty(0, dtype=np.int64)
+                new.append(i)
+                s = flat[a:b] if level is None or not level[a:b].any() else flat[a:b][np.argsort(level[a:b], kind="stable")]
+                first.append(s[: prefix_length(b - a)])
+            ends = np.cumsum([len(p) for p in first]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [_i64(c1), _i64(c2), _i64(n), pa.ListArray.from_arrays(pa.array(offsets), _i64(flat))],
+                [_i64(c1[new]), _i64(c2[new]), _i64(np.diff(offsets)[new]), pa.ListArray.from_arrays(pa.array(ends), _i64(np.concatenate(first).view(np.int64)))],
                 names=["c1", "c2", "n", "prefix"],
             )
 
     return docs.mapInArrow(cut, "c1 long, c2 long, n long, prefix array<long>")
 
 
-def ordered(s: np.ndarray, values: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """A set in the common order: by level of frequency, then by hash."""
-    if not len(values):
-        return s
-    at = np.minimum(np.searchsorted(values, s), len(values) - 1)
-    level = np.where(values[at] == s, levels[at], 0)
-    return s[np.argsort(level, kind="stable")]
+class Order:
+    """The common order of shingles: by level of frequency, 0 for all but the frequent ones, then by hash."""
+
+    def __init__(self, values: np.ndarray, levels: np.ndarray):
+        self.values, self.levels = values, levels
+        self.maybe = np.zeros(1 << 22, dtype=bool)  # a quick no for most shingles
+        self.maybe[values & np.uint64((1 << 22) - 1)] = True
+
+    def levels_of(self, flat: np.ndarray) -> np.ndarray | None:
+        at = np.flatnonzero(self.maybe[flat & np.uint64((1 << 22) - 1)])
+        if not len(at):
+            return None
+        out = np.zeros(len(flat), dtype=np.int8)
+        found = np.minimum(np.searchsorted(self.values, flat[at]), len(self.values) - 1)
+        out[at] = np.where(self.values[found] == flat[at], self.levels[found], 0)
+        return out
 
 
 def sets(docs: DataFrame) -> DataFrame:
@@ -186,11 +218,10 @@ def sets(docs: DataFrame) -> DataFrame:
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for _, texts in _rows(batches, 2):
-            found = [shingles(t, hashes) for t in texts]
-            keys = [digest(s) for s in found]
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
+            flat, offsets = shingle_batch(texts, hashes)
+            c1, c2 = digests(flat, offsets)
             yield pa.RecordBatch.from_arrays(
-                [_i64([k[0] for k in keys]), _i64([k[1] for k in keys]), pa.ListArray.from_arrays(pa.array(offsets), _i64(np.concatenate(found).view(np.int64)))],
+                [_i64(c1), _i64(c2), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), _i64(flat.view(np.int64)))],
                 names=["c1", "c2", "shingles"],
             )
 
@@ -280,15 +311,16 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
 
     # Groups post their prefixes; postings of a single class say nothing.
     groups = written.groupBy("n", "gid", "prefix").agg(F.count("*").alias("k"))
-    posts = groups.select("gid", "n", "k", F.posexplode("prefix").alias("pos", "token"))
+    posts = groups.select("gid", "n", "k", F.explode("prefix").alias("token"))
     token = Window.partitionBy("token")
-    posts = posts.select("token", "gid", "n", "pos", F.sum("k").over(token).alias("all"), F.min(F.struct("gid", "n")).over(token).alias("hub"))
-    posts = materialize(posts.where("all > 1").select("token", "gid", "n", "pos", F.col("hub.gid").alias("hub"), F.col("hub.n").alias("hub_n")), "postings")
+    posts = posts.select("token", "gid", "n", F.sum("k").over(token).alias("all"), F.min(F.struct("gid", "n")).over(token).alias("hub"))
+    posts = materialize(posts.where("all > 1").select("token", "gid", "n", F.col("hub.gid").alias("hub"), F.col("hub.n").alias("hub_n")), "postings")
 
     # The star.
     head = classes.groupBy("gid").agg(F.min("cid").alias("first"))
-    met = posts.where((F.col("gid") != F.col("hub")) & sizes_fit(F.col("n"), F.col("hub_n"))).groupBy("gid", "hub").agg(F.count("*").alias("k"))
-    met = met.groupBy("gid").agg(F.max(F.struct("k", "hub")).alias("best")).select("gid", F.col("best.hub").alias("hub"))
+    met = posts.where((F.col("gid") != F.col("hub")) & sizes_fit(F.col("n"), F.col("hub_n"))).groupBy("gid", "hub", "n", "hub_n").agg(F.count("*").alias("k"))
+    # Too few shingles for which this group is the first: if it is similar still, step 2 finds it.
+    met = met.where(similar(at_most(F.col("k"), F.col("n"), F.col("hub_n")), F.col("n"), F.col("hub_n"))).groupBy("gid").agg(F.max(F.struct("k", "hub")).alias("best")).select("gid", F.col("best.hub").alias("hub"))
     across = met.join(head, "gid").withColumnRenamed("first", "b").join(head.select(F.col("gid").alias("hub"), F.col("first").alias("a")), "hub").select("a", "b")
     inside = classes.join(head, "gid").where(F.col("cid") != F.col("first")).select(F.col("first").alias("a"), F.col("cid").alias("b"))
     star = materialize(across.union(inside).distinct(), "star")
@@ -301,12 +333,14 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
 
     label = labelled(links)
     units = label.select("gid", "component").distinct()
-    u = posts.select("token", "gid", "n", "pos").join(units, "gid")
+    u = posts.select("token", "gid", "n").join(units, "gid")
     u = u.withColumn("low", F.min("component").over(token)).withColumn("high", F.max("component").over(token)).where("low < high").drop("low", "high")
     u = materialize(u, "open-postings")
-    x, y = u.select("token", *[F.col(c).alias(f"{c}_x") for c in ("gid", "n", "pos", "component")]), u.select("token", *[F.col(c).alias(f"{c}_y") for c in ("gid", "n", "pos", "component")])
-    most = F.least("pos_x", "pos_y") + 1 + F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) - 1
-    open_ = x.join(y, "token").where((F.col("component_x") < F.col("component_y")) & similar(most, F.col("n_x"), F.col("n_y"))).select("gid_x", "component_x", "gid_y", "component_y").distinct()
+    x, y = u.select("token", *[F.col(c).alias(f"{c}_x") for c in ("gid", "n", "component")]), u.select("token", *[F.col(c).alias(f"{c}_y") for c in ("gid", "n", "component")])
+    sizes = F.col("n_x"), F.col("n_y")
+    met = x.join(y, "token").where((F.col("component_x") < F.col("component_y")) & sizes_fit(*sizes))
+    met = met.groupBy("gid_x", "component_x", "n_x", "gid_y", "component_y", "n_y").agg(F.count("*").alias("k"))
+    open_ = met.where(similar(at_most(F.col("k"), *sizes), *sizes)).drop("n_x", "n_y", "k")
     in_x = label.select(F.col("gid").alias("gid_x"), F.col("component").alias("component_x"), F.col("cid").alias("a"))
     in_y = label.select(F.col("gid").alias("gid_y"), F.col("component").alias("component_y"), F.col("cid").alias("b"))
     rest = open_.join(in_x, ["gid_x", "component_x"]).join(in_y, ["gid_y", "component_y"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -318,6 +352,18 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     return rows, label.select("c1", "c2", "component", "rep")
 
 
+def at_most(shared: Column, n: Column, m: Column) -> Column:
+    """The largest intersection of sets whose prefixes share so many shingles.
+
+    What else they share lies behind the prefix that ends first in the order.
+    """
+    return shared + F.greatest(behind(n), behind(m))
+
+
+def behind(n: Column) -> Column:
+    return F.ceil(n * TOP / BOTTOM) - 1
+
+
 def sizes_fit(n: Column, m: Column) -> Column:
     return BOTTOM * F.least(n, m) >= TOP * F.greatest(n, m)
 
