@@ -6,10 +6,11 @@ similar sets then share a shingle among their first ones, the prefix.
 Classes with the same size and prefix are one group, and a prefix shingle
 posts groups.  Links are verified on the whole sets in two steps:
 
-1. a star: each group against the group it shares most shingles with among
-   those that come first in a posting, and each class of a group against the
-   group's first class.  This is linear in the postings and joins most of a
-   family of copies into one component;
+1. stars, two rounds of them: each group against those it shares most
+   shingles with among the groups that come first in a posting and are in
+   another component yet, and each class of a group against the group's first
+   class.  This is linear in the postings and joins most of a family of
+   copies into one component;
 2. all pairs of groups in a posting that are still in different components,
    less those that their sizes, or the number of prefix shingles they share,
    rule out, expanded to their classes.
@@ -38,6 +39,8 @@ TOP, BOTTOM = 80, 100
 #: counted; of those with HOT or more in all, the HOTTEST most frequent ones
 #: go last in the order.  This only steers the order: any order is correct.
 STRETCH, LOCAL, HOT, HOTTEST = 4_000_000, 3, 48, 1 << 19
+#: Rounds of stars, and hubs of a group in each.
+ROUNDS, HUBS = 2, 3
 #: Words whose hashes a worker remembers.
 REMEMBERED = 300_000
 #: Keys of so many rows (16 bytes each) are broadcast; more are joined by a shuffle.
@@ -313,29 +316,37 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     groups = written.groupBy("n", "gid", "prefix").agg(F.count("*").alias("k"))
     posts = groups.select("gid", "n", "k", F.explode("prefix").alias("token"))
     token = Window.partitionBy("token")
-    posts = posts.select("token", "gid", "n", F.sum("k").over(token).alias("all"), F.min(F.struct("gid", "n")).over(token).alias("hub"))
-    posts = materialize(posts.where("all > 1").select("token", "gid", "n", F.col("hub.gid").alias("hub"), F.col("hub.n").alias("hub_n")), "postings")
-
-    # The star.
-    head = classes.groupBy("gid").agg(F.min("cid").alias("first"))
-    met = posts.where((F.col("gid") != F.col("hub")) & sizes_fit(F.col("n"), F.col("hub_n"))).groupBy("gid", "hub", "n", "hub_n").agg(F.count("*").alias("k"))
-    # Too few shingles for which this group is the first: if it is similar still, step 2 finds it.
-    met = met.where(similar(at_most(F.col("k"), F.col("n"), F.col("hub_n")), F.col("n"), F.col("hub_n"))).groupBy("gid").agg(F.max(F.struct("k", "hub")).alias("best")).select("gid", F.col("best.hub").alias("hub"))
-    across = met.join(head, "gid").withColumnRenamed("first", "b").join(head.select(F.col("gid").alias("hub"), F.col("first").alias("a")), "hub").select("a", "b")
-    inside = classes.join(head, "gid").where(F.col("cid") != F.col("first")).select(F.col("first").alias("a"), F.col("cid").alias("b"))
-    star = materialize(across.union(inside).distinct(), "star")
-    links = materialize(verified(star, classes, docs), "links")
+    posts = posts.select("token", "gid", "n", F.sum("k").over(token).alias("all"))
+    posts = materialize(posts.where("all > 1").drop("all"), "postings")
 
-    # What is left: pairs in a posting that are in different components.
     def labelled(links: DataFrame) -> DataFrame:
         found = roots(links)
         return materialize(classes.join(found, classes["cid"] == found["node"], "left").select("cid", "c1", "c2", "n", "gid", "rep", F.coalesce("root", "cid").alias("component")), "labelled")
 
-    label = labelled(links)
-    units = label.select("gid", "component").distinct()
-    u = posts.select("token", "gid", "n").join(units, "gid")
-    u = u.withColumn("low", F.min("component").over(token)).withColumn("high", F.max("component").over(token)).where("low < high").drop("low", "high")
-    u = materialize(u, "open-postings")
+    def still_open(label: DataFrame) -> DataFrame:
+        """Postings whose groups are in different components yet."""
+        u = posts.join(label.select("gid", "component").distinct(), "gid")
+        u = u.withColumn("low", F.min("component").over(token)).withColumn("high", F.max("component").over(token))
+        return materialize(u.where("low < high").drop("low", "high"), "open-postings")
+
+    # Stars: first with each group as one, which its first class stands for.
+    heads = classes.groupBy("gid").agg(F.min("cid").alias("component"))
+    inside = classes.join(heads, "gid").where("cid <> component").select(F.col("component").alias("a"), F.col("cid").alias("b"))
+    u, head = posts.join(heads, "gid"), heads.withColumn("cid", F.col("component"))
+    tried, links, label = None, None, None
+    for r in range(ROUNDS):
+        pairs = star(u, head, r)
+        pairs = materialize((pairs.union(inside) if r == 0 else pairs).distinct(), "star")
+        found = materialize(verified(pairs, classes, docs), "links")
+        tried, links = (pairs, found) if r == 0 else (tried.union(pairs), links.union(found))
+        if r == 0 or not found.isEmpty():
+            label = labelled(links)
+            u = still_open(label)
+            head = label.groupBy("gid", "component").agg(F.min("cid").alias("cid"))
+        if u.isEmpty():
+            break
+
+    # What is left: pairs in a posting that are in different components.
     x, y = u.select("token", *[F.col(c).alias(f"{c}_x") for c in ("gid", "n", "component")]), u.select("token", *[F.col(c).alias(f"{c}_y") for c in ("gid", "n", "component")])
     sizes = F.col("n_x"), F.col("n_y")
     met = x.join(y, "token").where((F.col("component_x") < F.col("component_y")) & sizes_fit(*sizes))
@@ -344,7 +355,7 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     in_x = label.select(F.col("gid").alias("gid_x"), F.col("component").alias("component_x"), F.col("cid").alias("a"))
     in_y = label.select(F.col("gid").alias("gid_y"), F.col("component").alias("component_y"), F.col("cid").alias("b"))
     rest = open_.join(in_x, ["gid_x", "component_x"]).join(in_y, ["gid_y", "component_y"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = verified(rest, classes, docs)
@@ -352,6 +363,30 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     return rows, label.select("c1", "c2", "component", "rep")
 
 
+def star(posts: DataFrame, head: DataFrame, r: int) -> DataFrame:
+    """``a, b``: for each group and component the HUBS it shares most shingles with of those that come first in a posting.
+
+    First in an order of the round's own, and in another component.
+    ``posts`` has ``token, gid, n, component``; ``head`` has the class that
+    stands for a group in a component.
+    """
+    token = Window.partitionBy("token")
+    me = F.struct(F.xxhash64(F.lit(r), "gid", "component").alias("o"), F.col("component").alias("c"), F.col("gid").alias("g"), F.col("n").alias("n"))
+    p = posts.withColumn("me", me).withColumn("one", F.min("me").over(token))
+    p = p.withColumn("two", F.min(F.when(F.col("component") != F.col("one.c"), F.col("me"))).over(token))
+    p = p.withColumn("hub", F.when(F.col("component") != F.col("one.c"), F.col("one")).otherwise(F.col("two"))).where(F.col("hub").isNotNull())
+    n, m = F.col("n"), F.col("hub.n")
+    met = p.where(sizes_fit(n, m)).groupBy("gid", "component", "n", "hub").agg(F.count("*").alias("k"))
+    # Only shingles for which a group is first are counted: a third of what is
+    # needed will do.  What is left out here is found in the last step.
+    met = met.where(similar(at_most(3 * F.col("k"), n, m), n, m))
+    best = F.row_number().over(Window.partitionBy("gid", "component").orderBy(F.desc("k"), "hub"))
+    met = met.withColumn("r", best).where(F.col("r") <= HUBS).select("gid", "component", F.col("hub.g").alias("g"), F.col("hub.c").alias("c"))
+    mine = head.select("gid", "component", F.col("cid").alias("b"))
+    its = head.select(F.col("gid").alias("g"), F.col("component").alias("c"), F.col("cid").alias("a"))
+    return met.join(mine, ["gid", "component"]).join(its, ["g", "c"]).select("a", "b")
+
+
 def at_most(shared: Column, n: Column, m: Column) -> Column:
     """The largest intersection of sets whose prefixes share so many shingles.
 
