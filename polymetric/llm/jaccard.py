@@ -6,10 +6,9 @@ similar sets then share a shingle among their first ones, the prefix.
 Classes with the same size and prefix are one group, and a prefix shingle
 posts groups.  Links are verified on the whole sets in two steps:
 
-1. stars, two rounds of them: each group against those it shares most
-   shingles with among the groups that come first in a posting and are in
-   another component yet, and each class of a group against the group's first
-   class.  This is linear in the postings and joins most of a family of
+1. stars: each group against those it shares most shingles with among the
+   most central ones of its postings, which have least of their own in their
+   prefixes, and each class of a group against the group's first class.  This is linear in the postings and joins most of a family of
    copies into one component;
 2. all pairs of groups in a posting that are still in different components,
    less those that their sizes, or the number of prefix shingles they share,
@@ -38,9 +37,9 @@ TOP, BOTTOM = 80, 100
 #: Shingles found in a stretch of STRETCH shingles LOCAL times or more are
 #: counted; of those with HOT or more in all, the HOTTEST most frequent ones
 #: go last in the order.  This only steers the order: any order is correct.
-STRETCH, LOCAL, HOT, HOTTEST = 4_000_000, 3, 48, 1 << 19
+STRETCH, LOCAL, HOT, HOTTEST = 4_000_000, 3, 8, 1 << 20
 #: Rounds of stars, and hubs of a group in each.
-ROUNDS, HUBS = 2, 3
+ROUNDS, HUBS = 1, 3
 #: Words whose hashes a worker remembers.
 REMEMBERED = 300_000
 #: Keys of so many rows (16 bytes each) are broadcast; more are joined by a shuffle.
@@ -318,6 +317,9 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     token = Window.partitionBy("token")
     posts = posts.select("token", "gid", "n", F.sum("k").over(token).alias("all"))
     posts = materialize(posts.where("all > 1").drop("all"), "postings")
+    # A group is the more central, the less of its prefix is its own: the text that copies were made from, say.
+    lonely = posts.groupBy("gid", "n").agg((1 - F.count("*") / (F.col("n") - behind(F.col("n")))).alias("lonely")).drop("n")
+    posts = materialize(posts.join(lonely, "gid"), "central-postings")
 
     def labelled(links: DataFrame) -> DataFrame:
         found = roots(links)
@@ -366,12 +368,13 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
 def star(posts: DataFrame, head: DataFrame, r: int) -> DataFrame:
     """``a, b``: for each group and component the HUBS it shares most shingles with of those that come first in a posting.
 
-    First in an order of the round's own, and in another component.
-    ``posts`` has ``token, gid, n, component``; ``head`` has the class that
+    The most central ones come first, then the round's own order decides; a
+    hub is in another component.  ``posts`` has ``token, gid, n, lonely,
+    component``; ``head`` has the class that
     stands for a group in a component.
     """
     token = Window.partitionBy("token")
-    me = F.struct(F.xxhash64(F.lit(r), "gid", "component").alias("o"), F.col("component").alias("c"), F.col("gid").alias("g"), F.col("n").alias("n"))
+    me = F.struct("lonely", F.xxhash64(F.lit(r), "gid", "component").alias("o"), F.col("component").alias("c"), F.col("gid").alias("g"), F.col("n").alias("n"))
     p = posts.withColumn("me", me).withColumn("one", F.min("me").over(token))
     p = p.withColumn("two", F.min(F.when(F.col("component") != F.col("one.c"), F.col("me"))).over(token))
     p = p.withColumn("hub", F.when(F.col("component") != F.col("one.c"), F.col("one")).otherwise(F.col("two"))).where(F.col("hub").isNotNull())
