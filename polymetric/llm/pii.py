@@ -438,13 +438,9 @@ def find(df: DataFrame, text: str = "text", field: Field | None = None) -> DataF
         cache: dict = {}
         for batch in batches:
             rows = []
-            texts = batch.tolist()
-            for i in range(0, len(texts), 256):
-                some = texts[i : i + 256]
-                base = [base_spans(t) for t in some]
-                for b, more in zip(base, added_spans(some, base, model, gap, cache)):
-                    n = [sum(1 for s in b if s[0] == k) for k in range(4)]
-                    rows.append((*n, hashlib.sha256(spelled(b).encode()).hexdigest(), spelled(sorted(set(b) | set(more)))))
+            for b, more in spans_of(batch.tolist(), model, gap, cache):
+                n = [sum(1 for s in b if s[0] == k) for k in range(4)]
+                rows.append((*n, hashlib.sha256(spelled(b).encode()).hexdigest(), spelled(sorted(set(b) | set(more)))))
             yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
     names = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
@@ -452,28 +448,40 @@ def find(df: DataFrame, text: str = "text", field: Field | None = None) -> DataF
     return data.withColumns({n: F.col(f"__found.{n}") for n in names}).drop("__found")
 
 
-def mask(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with every span in ``text`` replaced by its kind in angle brackets; overlapping ones by the first kind."""
-    marked = find(df.withColumn("__null", F.col(text).isNull()), text)
+def mask(df: DataFrame, text: str = "text", field: Field | None = None) -> DataFrame:
+    """``df`` with every span in ``text`` replaced by its kind in angle brackets; of overlapping ones, by the first.
+
+    Null texts stay null and texts without spans stay as they are.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    field = field or train(labelled_table())
+    known = spark.sparkContext.broadcast((field, field.gap()))
 
     @F.pandas_udf("string")
-    def replaced(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([masked(t, s) for t, s in zip(texts, spans)])
+    def replace(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            texts = batch.tolist()
+            yield pd.Series([masked(t, b + more) for t, (b, more) in zip(texts, spans_of(texts, *known.value, {}))], dtype=object)
+
+    return df.withColumn(text, F.when(F.col(text).isNotNull(), replace(text_or_empty(text))))
+
 
-    clean = F.when(F.col("__null"), F.lit(None)).when(F.col("spans") == "", F.col(text)).otherwise(replaced(text_or_empty(text), F.col("spans")))
-    out = marked.withColumn(text, clean)
-    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+def spans_of(texts: list[str], field: Field, gap: int, cache: dict) -> Iterator[tuple[list, list]]:
+    """The patterns' spans and the field's, for each text."""
+    for i in range(0, len(texts), 256):
+        some = texts[i : i + 256]
+        base = [base_spans(t) for t in some]
+        yield from zip(base, added_spans(some, base, field, gap, cache))
 
 
-def masked(text: str, spans: str) -> str:
+def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
     out, end = [], 0
-    found = [s.split(":") for s in spans.split(",")] if spans else []
-    for kind, a, b in sorted(((k, int(a), int(b)) for k, a, b in found), key=lambda s: (s[1], -s[2])):
-        if a < end:
-            if b > end:  # the rest of an overlapping span goes too
-                end = b
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if a < end:  # what an overlapping span has more goes too
+            end = max(end, b)
             continue
-        out += [text[end:a], f"<{kind.upper()}>"]
+        out += [text[end:a], f"<{KINDS[kind].upper()}>"]
         end = b
     return "".join([*out, text[end:]])
 
