@@ -313,13 +313,15 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
 
     # Groups post their prefixes; postings of a single class say nothing.
     groups = written.groupBy("n", "gid", "prefix").agg(F.count("*").alias("k"))
-    posts = groups.select("gid", "n", "k", F.explode("prefix").alias("token"))
+    posts = groups.select("gid", "n", "k", F.posexplode("prefix").alias("pos", "token"))
     token = Window.partitionBy("token")
-    posts = posts.select("token", "gid", "n", F.sum("k").over(token).alias("all"))
+    posts = posts.select("token", "gid", "n", "pos", F.sum("k").over(token).alias("all"))
     posts = materialize(posts.where("all > 1").drop("all"), "postings")
     # A group is the more central, the less of its prefix is its own: the text that copies were made from, say.
-    lonely = posts.groupBy("gid", "n").agg((1 - F.count("*") / (F.col("n") - behind(F.col("n")))).alias("lonely")).drop("n")
-    posts = materialize(posts.join(lonely, "gid"), "central-postings")
+    group = Window.partitionBy("gid", "n")
+    lonely = 1 - F.count("*").over(group) / (F.col("n") - behind(F.col("n")))
+    posts = posts.withColumn("before", F.row_number().over(group.orderBy("pos")) - 1).withColumn("lonely", lonely)
+    posts = materialize(posts, "central-postings")
 
     def labelled(links: DataFrame) -> DataFrame:
         found = roots(links)
@@ -349,9 +351,12 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
             break
 
     # What is left: pairs in a posting that are in different components.
-    x, y = u.select("token", *[F.col(c).alias(f"{c}_x") for c in ("gid", "n", "component")]), u.select("token", *[F.col(c).alias(f"{c}_y") for c in ("gid", "n", "component")])
+    x, y = u.select("token", *[F.col(c).alias(f"{c}_x") for c in ("gid", "n", "pos", "before", "component")]), u.select("token", *[F.col(c).alias(f"{c}_y") for c in ("gid", "n", "pos", "before", "component")])
     sizes = F.col("n_x"), F.col("n_y")
-    met = x.join(y, "token").where((F.col("component_x") < F.col("component_y")) & sizes_fit(*sizes))
+    # Of what lies before a shared shingle, without what is one group's own, and
+    # of what lies behind it, the sets share no more than the smaller part.
+    most = F.least("before_x", "before_y") + F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
+    met = x.join(y, "token").where((F.col("component_x") < F.col("component_y")) & similar(most, *sizes))
     met = met.groupBy("gid_x", "component_x", "n_x", "gid_y", "component_y", "n_y").agg(F.count("*").alias("k"))
     open_ = met.where(similar(at_most(F.col("k"), *sizes), *sizes)).drop("n_x", "n_y", "k")
     in_x = label.select(F.col("gid").alias("gid_x"), F.col("component").alias("component_x"), F.col("cid").alias("a"))
