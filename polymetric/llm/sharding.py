@@ -22,8 +22,8 @@ from .common import materialize, row_hash, ship, without
 BROADCAST_BUCKETS = 1_000_000
 
 
-def bucket_count(total_bytes: int, partitions: int, least: int = 16 << 20, most: int = 256 << 20) -> int:
-    """Buckets for so many bytes: four or more a shuffle partition, of 16 to 256 MiB each."""
+def bucket_count(total_bytes: int, partitions: int, least: int = 1 << 20, most: int = 256 << 20) -> int:
+    """Buckets for so many bytes: four or more a shuffle partition, of 1 to 256 MiB each."""
     size = min(most, max(least, total_bytes // max(1, 4 * partitions)))
     return max(1, math.ceil(total_bytes / size))
 
