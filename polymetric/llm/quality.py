@@ -94,11 +94,16 @@ def rules() -> dict[str, Column]:
 
 
 def log_odds(names: list[str], share_bad: float, theta: dict[str, list[list[float]]]) -> Column:
-    """Of being bad, given the votes in columns ``names``."""
-    out = F.lit(math.log(share_bad / (1 - share_bad)))
+    """Of being bad, given the votes in columns ``names``.
+
+    The weights are one array, not numbers spread over the expression: Spark
+    compiles the same code for every round.
+    """
+    weights = [math.log(b / g) for bad, good in zip(theta["bad"], theta["good"]) for b, g in zip(bad, good)]
+    table = F.array(*map(F.lit, [*weights, math.log(share_bad / (1 - share_bad))]))
+    out = table[len(weights)]
     for j, name in enumerate(names):
-        weights = [math.log(b / g) for b, g in zip(theta["bad"][j], theta["good"][j])]
-        out = out + F.when(F.col(name) == -1, weights[0]).when(F.col(name) == 0, weights[1]).otherwise(weights[2])
+        out = out + table[F.col(name) + (len(VOTES) * j + 1)]
     return out
 
 
