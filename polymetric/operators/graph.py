@@ -179,3 +179,54 @@ def graph_subgraph(spark, sf):
     v, e = _graph(spark, sf)
     v = v.where("id < 12")
     return e.join(v.withColumnRenamed("id", "src"), "src", "left_semi").join(v.withColumnRenamed("id", "dst"), "dst", "left_semi")
+
+
+@query(f"WITH {_E} SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, CAST(coalesce(c, 0) AS BIGINT) AS out FROM nation LEFT JOIN (SELECT src, count(*) AS c FROM e GROUP BY src) t ON src = n_nationkey")
+def graph_outer_join_vertices(spark, sf):
+    """Attributes joined to vertices, with a default where there are none."""
+    _, e = _graph(spark, sf)
+    v = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
+    out = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out"))
+    return v.join(out, "id", "left").na.fill(0, ["out"])
+
+
+@query(f"WITH {_E} SELECT src, dst, a.n_name || '>' || b.n_name AS label FROM e JOIN nation a ON a.n_nationkey = src JOIN nation b ON b.n_nationkey = dst")
+def graph_map_triplets(spark, sf):
+    _, e = _graph(spark, sf)
+    n = table(spark, sf, "nation")
+    a, b = n.select(F.col("n_nationkey").alias("src"), F.col("n_name").alias("a")), n.select(F.col("n_nationkey").alias("dst"), F.col("n_name").alias("b"))
+    return e.join(a, "src").join(b, "dst").select("src", "dst", F.concat_ws(">", "a", "b").alias("label"))
+
+
+@query(f"WITH {_E} SELECT dst AS src, src AS dst FROM e")
+def graph_reverse(spark, sf):
+    return _graph(spark, sf)[1].select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+@query(f"WITH {_E} SELECT least(src, dst) AS a, greatest(src, dst) AS b, CAST(count(*) AS BIGINT) AS n FROM e GROUP BY 1, 2")
+def graph_group_edges(spark, sf):
+    """Edges between the same vertices merged, either way."""
+    return _graph(spark, sf)[1].groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_E} SELECT src, dst FROM e")
+def graph_edge_list_file(spark, sf):
+    """Edges written as lines of two ids, with a comment line, and read."""
+    path = shared_folder(spark, f"edges-{uuid.uuid4().hex}")
+    lines = _graph(spark, sf)[1].select(F.concat_ws(" ", "src", "dst").alias("value"))
+    lines.union(spark.createDataFrame([("# comment",)], "value string")).write.text(path)
+    return spark.read.csv(path, sep=" ", comment="#", schema="src long, dst long")
+
+
+@query()
+def graph_personal_rank(spark, sf):
+    """Rank that always starts again at one vertex."""
+    v, e = _graph(spark, sf)
+    deg = e.groupBy("src").agg(F.count("*").alias("deg"))
+    w = cut(e.join(deg, "src").select("src", "dst", (1 / F.col("deg")).alias("w")))
+    start = F.when(F.col("id") == 0, 1.0).otherwise(0.0)
+    r = v.select("id", start.alias("rank"))
+    for _ in range(5):
+        got = w.join(r, w["src"] == r["id"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("w")).alias("s"))
+        r = cut(v.join(got, F.col("id") == F.col("dst"), "left").select("id", (0.15 * start + 0.85 * F.coalesce("s", F.lit(0.0))).alias("rank")))
+    return r

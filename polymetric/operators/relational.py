@@ -249,3 +249,65 @@ statement("forecast_revenue", "SELECT round(sum(l_extendedprice * l_discount), 2
 statement("large_orders", "SELECT o_orderkey, round(sum(l_quantity), 2) AS q FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey HAVING sum(l_quantity) > 200")
 statement("order_counts", "SELECT n, CAST(count(*) AS BIGINT) AS customers FROM (SELECT c_custkey, CAST(count(o_orderkey) AS BIGINT) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey) t GROUP BY n")
 statement("events_by_type", "SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT user_id) AS BIGINT) AS users, round(avg(value), 4) AS mean FROM events GROUP BY event_type")
+
+# ---- partitions, samples, structs, statistics ------------------------------------------------
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(6 AS INT) AS parts FROM orders")
+def repartition_coalesce(spark, sf):
+    """Rows dealt by a key to twelve partitions, then joined to six without another shuffle."""
+    o = table(spark, sf, "orders").repartition(12, "o_custkey").coalesce(6)
+    return o.select(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.count_distinct("p").cast("int").alias("parts"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey BETWEEN 100 AND 200")
+def sort_by_key_range(spark, sf):
+    """Range partitions sorted by key; a key range touches few of them."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice").repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey")
+    return o.where(F.col("o_orderkey").between(100, 200))
+
+
+statement("struct_expansion", "SELECT n_nationkey, n_name AS a, n_regionkey AS b FROM nation", "SELECT n_nationkey, s.* FROM (SELECT n_nationkey, named_struct('a', n_name, 'b', n_regionkey) AS s FROM nation) t")
+statement("arithmetic_precedence", "SELECT n_nationkey, 2 + n_nationkey * 3 - 4 % 3 AS v, -(n_nationkey - 5) AS w FROM nation")
+
+
+@query()
+def table_sample(spark, sf):
+    table(spark, sf, "orders").createOrReplaceTempView("pm_orders")
+    return spark.sql("SELECT o_orderkey FROM pm_orders TABLESAMPLE (10 PERCENT) REPEATABLE (3)")
+
+
+@query("SELECT CAST(count(value) AS BIGINT) AS n, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS sd, round(var_samp(value), 2) AS var, min(value) AS least, max(value) AS most, round(sum(value), 2) AS total FROM events")
+def double_statistics(spark, sf):
+    v = F.col("value")
+    return table(spark, sf, "events").agg(F.count(v).alias("n"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_pop(v), 4).alias("sd"), F.round(F.var_samp(v), 2).alias("var"), F.min(v).alias("least"), F.max(v).alias("most"), F.round(F.sum(v), 2).alias("total"))
+
+
+@query()
+def quantiles(spark, sf):
+    """Greenwald-Khanna quantiles, within the stated error."""
+    q = table(spark, sf, "lineitem").approxQuantile("l_extendedprice", [0.1, 0.5, 0.9], 0.01)
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(q)], "i int, v double")
+
+
+@query("SELECT user_id, CAST(sum(CASE WHEN event_type = 'click' THEN 2 ELSE 1 END) AS BIGINT) AS v FROM events GROUP BY user_id")
+def reduce_groups(spark, sf):
+    """A fold over each group, in the engine."""
+    v = F.collect_list(F.when(F.col("event_type") == "click", 2).otherwise(1).cast("long"))
+    return table(spark, sf, "events").groupBy("user_id").agg(F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a + x).alias("v"))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS BIGINT) AS i, n_name FROM nation")
+def zip_with_index(spark, sf):
+    """Gapless numbers in key order without one task for all rows: counts by range partition, then offsets."""
+    n = table(spark, sf, "nation").select("n_nationkey", "n_name").repartitionByRange(4, "n_nationkey").sortWithinPartitions("n_nationkey").withColumn("at", F.monotonically_increasing_id())
+    n = n.withColumn("p", F.shiftright("at", 33)).cache()
+    before = n.groupBy("p").agg(F.count("*").alias("c")).withColumn("b", F.sum("c").over(Window.orderBy("p")) - F.col("c")).select("p", "b")
+    return n.join(F.broadcast(before), "p").select((F.col("b") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("i"), "n_name")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%')")
+def dynamic_filter(spark, sf):
+    """A filter that only the other side's rows give."""
+    r = table(spark, sf, "region").where("r_name LIKE 'A%'").select(F.col("r_regionkey").alias("n_regionkey"))
+    return table(spark, sf, "nation").join(r, "n_regionkey", "left_semi").select("n_nationkey", "n_name")

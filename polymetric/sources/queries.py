@@ -213,3 +213,37 @@ def cogroup_pandas(spark, sf):
 
     r, n = table(spark, sf, "region").select("r_regionkey"), table(spark, sf, "nation").select("n_regionkey", "n_nationkey")
     return r.groupBy("r_regionkey").cogroup(n.groupBy("n_regionkey")).applyInPandas(both, "r_regionkey int, n long")
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def source_jdbc(spark, sf):
+    """A table in an embedded database, written, and read in two parts by a key range.
+
+    The database lives in one process, so this shows the connector on one machine.
+    """
+    url = f"jdbc:derby:memory:pm{uuid.uuid4().hex};create=true"
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    table(spark, sf, "nation").select("n_nationkey", "n_name").coalesce(1).write.jdbc(url, "nation", mode="append", properties=options)
+    back = spark.read.jdbc(url, "nation", column="n_nationkey", lowerBound=0, upperBound=25, numPartitions=2, properties=options)
+    return back.select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name")
+
+
+@query("SELECT CAST(p_size AS DOUBLE) AS label, round(p_retailprice, 2) AS v FROM part WHERE p_partkey <= 50")
+def source_libsvm(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+
+    path = place(spark, "libsvm")
+    p = table(spark, sf, "part").where("p_partkey <= 50")
+    p.select(F.concat(F.col("p_size").cast("string"), F.lit(" 1:"), F.col("p_retailprice").cast("string")).alias("value")).write.text(path)
+    return spark.read.format("libsvm").option("numFeatures", 2).load(path).select("label", F.round(vector_to_array("features")[0], 2).alias("v"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000 AND o_orderstatus = 'O'")
+def source_pushdown(spark, sf):
+    """Filters and columns reach the scan."""
+    return table(spark, sf, "orders").where((F.col("o_totalprice") > 200000) & (F.col("o_orderstatus") == "O")).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT CAST(0 AS BIGINT) AS n")
+def source_empty(spark, sf):
+    return table(spark, sf, "orders").limit(0).agg(F.count("*").alias("n"))

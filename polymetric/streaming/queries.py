@@ -156,3 +156,59 @@ def stream_rate(spark, sf):
     q.awaitTermination(3)
     q.stop()
     return spark.table(name).select("value")
+
+
+@query("SELECT DISTINCT event_id FROM events")
+def stream_deduplicate_watermark(spark, sf):
+    """State of seen keys is dropped as the watermark passes them."""
+    s = event_stream(spark, sf).withWatermark("time", "1 hour").dropDuplicatesWithinWatermark(["event_id"])
+    return finished(s.select("event_id"), "append")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n FROM events WHERE value > 10")
+def stream_listener(spark, sf):
+    """Rows that a listener hears of, against what was written."""
+    from pyspark.sql.streaming import StreamingQueryListener
+
+    class Ears(StreamingQueryListener):
+        heard: list[str] = []
+
+        def onQueryStarted(self, event):
+            self.heard.append("started")
+
+        def onQueryProgress(self, event):
+            self.heard.append("progress")
+
+        def onQueryIdle(self, event):
+            pass
+
+        def onQueryTerminated(self, event):
+            self.heard.append("terminated")
+
+    ears = Ears()
+    spark.streams.addListener(ears)
+    try:
+        out = finished(event_stream(spark, sf).where("value > 10").select("event_id"), "append")
+    finally:
+        spark.streams.removeListener(ears)
+    assert not [q for q in spark.streams.active if q.name == "pm_none"]
+    return out.agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY event_type")
+def stream_partitioned_sink(spark, sf):
+    """A file sink with a folder a value, read back by its log of committed files."""
+    top = folder(spark)
+    s = event_stream(spark, sf).select("event_id", "event_type")
+    s.writeStream.format("parquet").partitionBy("event_type").option("path", f"{top}/out").option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{top}/out").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id, CAST(count(*) AS BIGINT) AS n FROM events WHERE event_type = 'click' GROUP BY user_id")
+def stream_restart(spark, sf):
+    """A query started twice on one checkpoint reads its input once."""
+    top = folder(spark)
+    for _ in range(2):
+        s = event_stream(spark, sf).where("event_type = 'click'").select("user_id")
+        s.writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{top}/out").groupBy("user_id").agg(F.count("*").alias("n"))
