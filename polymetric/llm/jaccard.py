@@ -314,9 +314,8 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     # Groups post their prefixes; postings of a single class say nothing.
     groups = written.groupBy("n", "gid", "prefix").agg(F.count("*").alias("k"))
     posts = groups.select("gid", "n", "k", F.posexplode("prefix").alias("pos", "token"))
-    token = Window.partitionBy("token")
-    posts = posts.select("token", "gid", "n", "pos", F.sum("k").over(token).alias("all"))
-    posts = materialize(posts.where("all > 1").drop("all"), "postings")
+    shared = posts.groupBy("token").agg(F.sum("k").alias("all")).where("all > 1").select("token")
+    posts = materialize(posts.drop("k").join(shared, "token"), "postings")
     # A group is the more central, the less of its prefix is its own: the text that copies were made from, say.
     group = Window.partitionBy("gid", "n")
     lonely = 1 - F.count("*").over(group) / (F.col("n") - behind(F.col("n")))
@@ -330,8 +329,8 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     def still_open(label: DataFrame) -> DataFrame:
         """Postings whose groups are in different components yet."""
         u = posts.join(label.select("gid", "component").distinct(), "gid")
-        u = u.withColumn("low", F.min("component").over(token)).withColumn("high", F.max("component").over(token))
-        return materialize(u.where("low < high").drop("low", "high"), "open-postings")
+        several = u.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        return materialize(u.join(several.select("token"), "token"), "open-postings")
 
     # Stars: first with each group as one, which its first class stands for.
     heads = classes.groupBy("gid").agg(F.min("cid").alias("component"))
@@ -378,11 +377,12 @@ def star(posts: DataFrame, head: DataFrame, r: int) -> DataFrame:
     component``; ``head`` has the class that
     stands for a group in a component.
     """
-    token = Window.partitionBy("token")
     me = F.struct("lonely", F.xxhash64(F.lit(r), "gid", "component").alias("o"), F.col("component").alias("c"), F.col("gid").alias("g"), F.col("n").alias("n"))
-    p = posts.withColumn("me", me).withColumn("one", F.min("me").over(token))
-    p = p.withColumn("two", F.min(F.when(F.col("component") != F.col("one.c"), F.col("me"))).over(token))
-    p = p.withColumn("hub", F.when(F.col("component") != F.col("one.c"), F.col("one")).otherwise(F.col("two"))).where(F.col("hub").isNotNull())
+    # Sums by token meet before rows do, and Spark splits a token that many rows have in a join.
+    p = posts.withColumn("me", me)
+    p = p.join(p.groupBy("token").agg(F.min("me").alias("one")), "token")
+    other = p.where(F.col("component") != F.col("one.c")).groupBy("token").agg(F.min("me").alias("two"))
+    p = p.join(other, "token", "left").withColumn("hub", F.when(F.col("component") != F.col("one.c"), F.col("one")).otherwise(F.col("two"))).where(F.col("hub").isNotNull())
     n, m = F.col("n"), F.col("hub.n")
     met = p.where(sizes_fit(n, m)).groupBy("gid", "component", "n", "hub").agg(F.count("*").alias("k"))
     # Only shingles for which a group is first are counted: a third of what is
