@@ -37,7 +37,7 @@ TOP, BOTTOM = 80, 100
 #: Shingles found in a stretch of STRETCH shingles LOCAL times or more are
 #: counted; of those with HOT or more in all, the HOTTEST most frequent ones
 #: go last in the order.  This only steers the order: any order is correct.
-STRETCH, LOCAL, HOT, HOTTEST = 2_000_000, 3, 8, 1 << 19
+STRETCH, LOCAL, HOT, HOTTEST = 4_000_000, 2, 8, 1 << 20
 #: Rounds of stars, and hubs of a group in each.
 ROUNDS, HUBS = 1, 3
 #: Words whose hashes a worker remembers.
