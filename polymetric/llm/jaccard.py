@@ -252,7 +252,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     b = pairs.join(found.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")), "b")
     both = b.join(found.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a")
     overlap = F.size(F.array_intersect("sa", "sb"))
-    return both.where(similar(overlap, F.size("sa"), F.size("sb"))).select("a", "b").distinct()
+    return both.where(similar(overlap, F.size("sa"), F.size("sb"))).select("a", "b")
 
 
 def roots(edges: DataFrame) -> DataFrame:
@@ -340,7 +340,7 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     tried, links, label = None, None, None
     for r in range(ROUNDS):
         pairs = star(u, head, r)
-        pairs = materialize((pairs.union(inside) if r == 0 else pairs).distinct(), "star")
+        pairs = materialize(pairs.union(inside) if r == 0 else pairs, "star")
         found = materialize(verified(pairs, classes, docs), "links")
         tried, links = (pairs, found) if r == 0 else (tried.union(pairs), links.union(found))
         if r == 0 or not found.isEmpty():
@@ -365,8 +365,12 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        more = verified(rest, classes, docs)
-        label = labelled(materialize(links.union(more), "all-links"))
+        # What is linked already is one node now.
+        more = materialize(verified(rest, classes, docs), "more-links")
+        of = label.select(F.col("cid").alias("a"), F.col("component").alias("ca")), label.select(F.col("cid").alias("b"), F.col("component").alias("cb"))
+        joined = roots(more.join(of[0], "a").join(of[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        moved = label.join(joined, label["component"] == joined["node"], "left").withColumn("component", F.coalesce("root", "component"))
+        label = materialize(moved.select("c1", "c2", "component", "rep"), "relabelled")
     return rows, label.select("c1", "c2", "component", "rep")
 
 

@@ -152,7 +152,8 @@ def judge(df: DataFrame, text: str = "text", carry_text: bool = True) -> DataFra
         data = data.drop(text)
     written = materialize(data, "quality")
     names = list(votes)
-    patterns = materialize(written.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1), "votes")
+    # One partition, so that a round moves nothing: the table has 3 to the power of the rules' number of rows at most.
+    patterns = materialize(written.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1), "votes").coalesce(1)
     share, theta = fit(patterns, names)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     good = 1 / (1 + F.exp(log_odds(names, share, theta)))
