@@ -120,7 +120,7 @@ def _graph(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 
 def _supplies(spark, sf) -> DataFrame:
-    s = table(spark, sf, "supplier").where("s_suppkey <= 60")
+    s = table(spark, sf, "supplier")
     return s.select(F.col("s_nationkey").cast("long").alias("src"), F.pmod(F.col("s_suppkey") * 7 + 3, F.lit(25)).alias("dst")).where("src <> dst").distinct()
 
 
