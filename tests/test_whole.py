@@ -26,3 +26,8 @@ def test_edges_of_all_suppliers(spark):
     want = {(n, (k * 7 + 3) % 25) for k, n in keys if n != (k * 7 + 3) % 25}
     got = graph._graph(spark, LARGER)[1].collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_libsvm_of_all_parts(spark):
+    sql = "SELECT CAST(p_size AS DOUBLE) AS label, round(p_retailprice, 2) AS v FROM part"
+    assert rows(QUERIES["source_libsvm"](spark, LARGER).toPandas()) == rows(connect(LARGER).execute(sql).fetchdf())
