@@ -31,3 +31,8 @@ def test_edges_of_all_suppliers(spark):
 def test_libsvm_of_all_parts(spark):
     sql = "SELECT CAST(p_size AS DOUBLE) AS label, round(p_retailprice, 2) AS v FROM part"
     assert rows(QUERIES["source_libsvm"](spark, LARGER).toPandas()) == rows(connect(LARGER).execute(sql).fetchdf())
+
+
+def test_intersect_all_customers(spark):
+    sql = "SELECT n_regionkey AS k FROM nation INTERSECT ALL SELECT c_nationkey FROM customer"
+    assert rows(QUERIES["intersect_all"](spark, LARGER).toPandas()) == rows(connect(LARGER).execute(sql).fetchdf())
