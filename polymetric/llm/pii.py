@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -96,11 +96,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 LABELS = ("O", *KINDS)
 #: A token is a stretch without white space; the longest whose shape is looked at.
 LONG = 80
+#: A card number has no more digits, a phone number less.
+MOST_DIGITS = 19
 #: Places in a text that can hold something else than plain words.
 _odd = re.compile(r"[0-9@\[({]").finditer
 _space = re.compile(r"[ \t-\r]").search
 _marks = re.compile(r"[\[({](?:at|dot)[\])}]", re.I)
 _token = re.compile(r"[^ \t-\r]+")
+_part = re.compile(r"[^ \t-\r,;|]+").finditer
 
 
 def token_shape(token: str) -> str:
@@ -374,10 +377,41 @@ def checked(kind: int, text: str, start: int, end: int) -> tuple[int, int] | Non
     return start, end
 
 
-def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], field: Field, gap: int, cache: dict) -> list[list[tuple[int, int, int]]]:
-    """What the field finds in texts beside the spans of the patterns."""
+def parts(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """A token with more digits than an entity can have, or longer than LONG, cut at commas, semicolons and bars."""
+    if (b - a > LONG and any(_odd(text, a, b))) or len(_digits(text[a:b])) > MOST_DIGITS:
+        return [m.span() for m in _part(text, a, b)] or [(a, b)]
+    return [(a, b)]
+
+
+def apart(kind: int, text: str, run: list[tuple[int, int]], free: Callable[[tuple[int, int]], bool]) -> list[tuple[int, int]]:
+    """Spans in a run of tokens, cut at token borders, that pass the check and are free; as many tokens as possible lie in them."""
+    best: list[tuple[int, tuple[int, int] | None, int]] = [(0, None, 0)] * (len(run) + 1)
+    for t in range(len(run) - 1, -1, -1):
+        best[t] = (best[t + 1][0], None, t + 1)
+        digits = 0
+        for u in range(t, len(run)):
+            digits += len(_digits(text[run[u][0] : run[u][1]])) if kind else 0
+            if digits > MOST_DIGITS or run[u][1] - run[t][0] > 4 * LONG + 8:
+                break
+            n = u + 1 - t + best[u + 1][0]
+            if n > best[t][0] and (span := checked(kind, text, run[t][0], run[u][1])) and free(span):
+                best[t] = (n, span, u + 1)
+    out, t = [], 0
+    while t < len(run):
+        _, span, t = best[t]
+        out += [span] if span else []
+    return out
+
+
+def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], field: Field, gap: int, cache: dict, split: bool = False) -> list[list[tuple[int, int, int]]]:
+    """What the field finds in texts beside the spans of the patterns.
+
+    A run of one label is a span; with ``split``, a run that is none is cut
+    at token borders, and tokens at punctuation, into spans that pass.
+    """
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    work = [(i, spans) for i, t in enumerate(texts) for spans in pieces(t, gap)]
+    work = [(i, [p for a, b in spans for p in parts(t, a, b)] if split else spans) for i, t in enumerate(texts) for spans in pieces(t, gap)]
     work.sort(key=lambda x: len(x[1]))
     at = 0
     while at < len(work):
@@ -402,14 +436,20 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], field:
         labels = field.viterbi(emissions, lengths)
         for row, (i, spans) in enumerate(some):
             taken, t = base[i], 0
+
+            def free(span: tuple[int, int], taken: list = taken) -> bool:
+                return not any(a < span[1] and span[0] < b for _, a, b in taken)
+
             while t < len(spans):
                 label, u = labels[row, t], t + 1
                 if label:
                     while u < len(spans) and labels[row, u] == label:
                         u += 1
                     span = checked(int(label) - 1, texts[i], spans[t][0], spans[u - 1][1])
-                    if span and not any(a < span[1] and span[0] < b for _, a, b in taken):
+                    if span and free(span):
                         found[i].append((int(label) - 1, *span))
+                    elif split:
+                        found[i] += [(int(label) - 1, *s) for s in apart(int(label) - 1, texts[i], spans[t:u], free)]
                 t = u
     return found
 
@@ -472,7 +512,7 @@ def spans_of(texts: list[str], field: Field, gap: int, cache: dict) -> Iterator[
     for i in range(0, len(texts), 256):
         some = texts[i : i + 256]
         base = [base_spans(t) for t in some]
-        yield from zip(base, added_spans(some, base, field, gap, cache))
+        yield from zip(base, added_spans(some, base, field, gap, cache, split=True))
 
 
 def masked(text: str, spans: list[tuple[int, int, int]]) -> str:

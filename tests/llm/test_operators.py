@@ -214,6 +214,41 @@ def test_field_held_out_and_gap():
         assert sorted(pii.added_spans([text], [base], field, gap, {})[0]) == sorted(want)
 
 
+def test_pii_side_by_side():
+    field = pii.train(pii.labelled_table())
+    gap, rng, cache = field.gap(), random.Random(7), {}
+
+    def number(n):
+        return "".join(rng.choices("0123456789", k=n))
+
+    def phone():
+        a, b, c = number(3), number(3), number(4)
+        return rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}"])
+
+    def card():
+        body = number(15)
+        n = next(body + d for d in "0123456789" if pii.luhn(body + d))
+        return rng.choice("/.").join((n[:4], n[4:8], n[8:12], n[12:]))
+
+    def shown(text):
+        base, more = next(pii.spans_of([text], field, gap, cache))
+        return pii.masked(text, base + more)
+
+    assert shown("call 555-123-4567 555-987-6543 now") == "call <PHONE> <PHONE> now"
+    assert shown("555-123-4567,555-987-6543") == "<PHONE>,<PHONE>"
+    assert shown("pay 4111/1111/1111/1111 4111/1111/1111/1111") == "pay <CARD> <CARD>"
+    assert shown("2001-02-03 2004-05-06") == "2001-02-03 2004-05-06"
+    many = " ".join(["anna [at] mail [dot] org"] * 40)
+    assert "[at]" not in shown(many)
+    whole = total = 0
+    for _ in range(300):
+        made, say = rng.choice([(phone, "<PHONE>"), (card, "<CARD>")])
+        n, by = rng.randint(2, 6), rng.choice([" ", ", ", "; ", "\n"])
+        got = shown("reach me " + by.join(made() for _ in range(n)) + " before noon")
+        whole, total = whole + got.count(say), total + n
+    assert whole / total > 0.98, (whole, total)
+
+
 def test_viterbi_by_enumeration():
     import itertools
 
