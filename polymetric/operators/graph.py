@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def limited(rounds: int | None) -> Iterator[int]:
+    """0, 1, .. without end, or an error where the round ``rounds`` would begin."""
+    for i in count():
+        if i == rounds:
+            raise RuntimeError(f"not done after {rounds} rounds")
+        yield i
+
+
 def aggregate_messages(vertices: DataFrame, edges: DataFrame, to_dst: Column | None, to_src: Column | None, merge: Callable[[Column], Column]) -> DataFrame:
     """``id, msg``: messages along edges, merged at their ends; expressions see ``src_<column>`` and ``dst_<column>``."""
     s = vertices.select(*[F.col(c).alias(f"src_{c}") for c in vertices.columns])
@@ -29,17 +38,16 @@ def aggregate_messages(vertices: DataFrame, edges: DataFrame, to_dst: Column | N
     return sent.where(F.col("m").isNotNull()).groupBy("id").agg(merge(F.col("m")).alias("msg"))
 
 
-def pregel(vertices: DataFrame, edges: DataFrame, message: Column, merge, update: Column, rounds: int) -> DataFrame:
-    """Rounds of messages to destinations and updates of ``value`` (which may use ``msg``), until nothing changes."""
+def pregel(vertices: DataFrame, edges: DataFrame, message: Column, merge, update: Column, rounds: int | None = None) -> DataFrame:
+    """Rounds of messages to destinations and updates of ``value`` (which may use ``msg``), until nothing changes; an error if that takes more than ``rounds``."""
     v = cut(vertices)
-    for _ in range(rounds):
+    for _ in limited(rounds):
         m = aggregate_messages(v, edges, message, None, merge)
         new = cut(v.join(m, "id", "left").select("id", update.alias("new"), "value"))
         changed = new.where(~F.col("new").eqNullSafe(F.col("value"))).limit(1).count()
         v = new.select("id", F.col("new").alias("value"))
         if not changed:
-            break
-    return v
+            return v
 
 
 def page_rank(vertices: DataFrame, edges: DataFrame, rounds: int = 10, reset: float = 0.15) -> DataFrame:
@@ -52,14 +60,14 @@ def page_rank(vertices: DataFrame, edges: DataFrame, rounds: int = 10, reset: fl
     return r
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
+def connected_components(vertices: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """``id, component``: the least id that edges reach, either way."""
     both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
     v = pregel(vertices.select("id", F.col("id").alias("value")), both, F.col("src_value"), F.min, F.least("value", F.coalesce("msg", "value")), rounds)
     return v.withColumnRenamed("value", "component")
 
 
-def shortest_paths(vertices: DataFrame, edges: DataFrame, landmark: int, rounds: int = 100) -> DataFrame:
+def shortest_paths(vertices: DataFrame, edges: DataFrame, landmark: int, rounds: int | None = None) -> DataFrame:
     """``id, hops`` along edges to ``landmark``; null if there is no way."""
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     start = vertices.select("id", F.when(F.col("id") == landmark, 0).cast("int").alias("value"))
@@ -91,14 +99,14 @@ def triangle_count(edges: DataFrame) -> DataFrame:
     return t.select(F.explode(F.array("x", "y1", "y2")).alias("id")).groupBy("id").agg(F.count("*").alias("triangles"))
 
 
-def strongly_connected(vertices: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
+def strongly_connected(vertices: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """``id, component``: the least id from which a vertex can be reached and that it reaches, found by colouring.
 
     Each pass colours forward by the least id, then goes back from each
     colour's root; what both ways meet is a component and leaves the graph.
     """
     left, e, done = cut(vertices.select("id")), cut(edges.select("src", "dst")), None
-    for _ in range(rounds):
+    for _ in limited(rounds):
         colour = pregel(left.select("id", F.col("id").alias("value")), e, F.col("src_value"), F.min, F.least("value", F.coalesce("msg", "value")), rounds)
         c = cut(colour.withColumnRenamed("value", "colour"))
         s, d = c.select(F.col("id").alias("src"), F.col("colour").alias("cs")), c.select(F.col("id").alias("dst"), F.col("colour").alias("cd"))
@@ -108,9 +116,8 @@ def strongly_connected(vertices: DataFrame, edges: DataFrame, rounds: int = 50)
         done = found if done is None else done.unionByName(found)
         left = cut(left.join(found, "id", "left_anti"))
         if left.isEmpty():
-            break
+            return done
         e = cut(e.join(left.select(F.col("id").alias("src")), "src", "left_semi").join(left.select(F.col("id").alias("dst")), "dst", "left_semi"))
-    return done
 
 
 def _graph(spark, sf) -> tuple[DataFrame, DataFrame]:

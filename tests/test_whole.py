@@ -28,6 +28,27 @@ def test_edges_of_all_suppliers(spark):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def chain(spark, n, closed=False):
+    """Vertices 0 to n - 1 and an edge from each to the next, and from the last to the first if closed."""
+    v = spark.range(n)
+    return v.coalesce(1), v.where("true" if closed else f"id < {n - 1}").selectExpr("id AS src", f"(id + 1) % {n} AS dst").coalesce(1)
+
+
+def test_long_ways(spark):
+    v, e = chain(spark, 104)
+    assert {tuple(r) for r in graph.connected_components(v, e).collect()} == {(i, 0) for i in range(104)}
+    assert {tuple(r) for r in graph.shortest_paths(v, e, 103).collect()} == {(i, 103 - i) for i in range(104)}
+
+
+def test_long_cycle(spark):
+    assert {tuple(r) for r in graph.strongly_connected(*chain(spark, 53, closed=True)).collect()} == {(i, 0) for i in range(53)}
+
+
+def test_limit_of_rounds(spark):
+    with pytest.raises(RuntimeError):
+        graph.connected_components(*chain(spark, 6), rounds=3)
+
+
 def test_libsvm_of_all_parts(spark):
     sql = "SELECT CAST(p_size AS DOUBLE) AS label, round(p_retailprice, 2) AS v FROM part"
     assert rows(QUERIES["source_libsvm"](spark, LARGER).toPandas()) == rows(connect(LARGER).execute(sql).fetchdf())
