@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def tokens(c: Column, least: int = 3) -> Column:
-    """Distinct lower-case words of at least ``least`` letters."""
-    return F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: F.length(w) >= least))
+    """Distinct lower-case words of at least ``least`` letters; all but ASCII letters, digits and underscores parts them."""
+    return F.array_distinct(F.transform(F.filter(F.split(c, r"\W+"), lambda w: F.length(w) >= least), F.lower))
 
 
 def postings(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -22,7 +24,7 @@ def shared(df: DataFrame, key: str, text: str, query: str) -> DataFrame:
     The query's few tokens are an IN list on the exploded words; only keys
     that matched go back to the rows.
     """
-    wanted = [w for w in dict.fromkeys(query.lower().split()) if len(w) >= 3]
+    wanted = list(dict.fromkeys(w.lower() for w in re.split(r"\W+", query, flags=re.ASCII) if len(w) >= 3))
     hits = postings(df, key, text).where(F.col("token").isin(wanted)).groupBy(key).agg(F.count("*").alias("n_shared"))
     return df.join(hits, key).withColumn("dist", F.levenshtein(F.lower(text), F.lit(query.lower())).cast("double"))
 

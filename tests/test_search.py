@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from polymetric.functions.metrics import ANGLE, EDIT, EUCLID, L1, TIME, Metric, checked_weights, distance, spread, weighted
 from polymetric.operators.pivots import Catalog
 from polymetric.operators.similarity import batch_knn, delete, knn_search, range_search, recall, similarity_join
+from polymetric.operators.text_index import text_knn, text_range
 from polymetric.plans.sql import Engine, parse_point, split_arguments
 from polymetric.plans.tuning import KNOBS, Tuner, knobs_of, reward
 from polymetric.plans.weights import anchor_pairs, combined, contrast, regress
@@ -157,6 +158,14 @@ def test_text_formats(spark, tmp_path):
     assert read_queries(spark, f"file://{tmp_path}/q.txt") == {"weights": [1.0, 2.0], "ks": [5, 10], "radii": [0.1, 0.2], "ids": [3, 4]}
 
 
+def test_text_with_punctuation(spark):
+    rows = [(1, "Steel, polished"), (2, "(small) tin-plated"), (3, "steelwork of it"), (4, None), (5, "STEEL/steel;tin")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    got = {r["id"]: r["n_shared"] for r in text_range(df, "id", "t", "small, tin-steel of", 100).collect()}
+    assert got == {1: 1, 2: 2, 5: 2}
+    assert [r["id"] for r in text_knn(df, "id", "t", "Steel (polished)", 1).collect()] == [1]
+
+
 def test_learning_weights(data):
     _, df = data
     good, truth = df.na.drop(), [0.6, 0.1, 0.3]
