@@ -137,6 +137,33 @@ def fillings(counts: np.ndarray, free: int) -> list[tuple[int, ...]]:
     return sorted(found, key=lambda f: (free - sum(f), tuple(-s for s in f)))[:BRANCHES]
 
 
+def maximal(counts: np.ndarray, free: int) -> Iterator[tuple[int, ...] | None]:
+    """Every set of pieces that fits into ``free`` and leaves no room for a piece more, large pieces first; None now and then between them."""
+    sizes = [int(s) for s in np.flatnonzero(counts[: free + 1])[::-1]]
+    have = [int(counts[s]) for s in sizes]
+    after = [*np.cumsum([s * n for s, n in zip(sizes[::-1], have[::-1])])[::-1].tolist(), 0]
+    steps = 0
+
+    def grow(i: int, room: int, items: tuple[int, ...], spare: int):
+        # ``spare`` is the least size of which a piece was left out: less than that may stay free.
+        nonlocal steps
+        steps += 1
+        if steps % 64 == 0:
+            yield None
+        for j in range(i, len(sizes)):
+            if room - after[j] >= spare:
+                return
+            s = sizes[j]
+            most = min(have[j], room // s)
+            for n in range(most, 0, -1):
+                yield from grow(j + 1, room - n * s, items + (s,) * n, s if n < have[j] else spare)
+            spare = s
+        if room < spare:
+            yield items
+
+    yield from grow(0, free, (), free + 1)
+
+
 def plan(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> list[Pattern]:
     """Patterns that use every piece of ``counts`` (by length, from 0) once, in as few sequences as the search finds."""
     counts = np.asarray(counts, dtype=np.int64).copy()
@@ -153,12 +180,25 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> li
     # A frame: what is left, sequences used, waste so far, fillings to try, and the pattern that led here.
     path: list[Pattern] = []
 
-    def frame(left: np.ndarray, used: int, waste: int):
+    whole = False
+
+    def tries(left: np.ndarray) -> Iterator[tuple[tuple[int, ...], int] | None]:
+        """Fillings with the largest piece and how often each is used: the promising ones as often as they can, or all in all numbers."""
         largest = int(np.flatnonzero(left)[-1])
         rest = left.copy()
         rest[largest] -= 1
-        options = [tuple(sorted((largest, *f), reverse=True)) for f in fillings(rest, capacity - largest)]
-        return [left, used, waste, iter(options)]
+        for f in maximal(rest, capacity - largest) if whole else fillings(rest, capacity - largest):
+            if f is None:
+                yield None
+                continue
+            items = tuple(sorted((largest, *f), reverse=True))
+            each = np.bincount(items, minlength=capacity + 1)
+            most = int((left[each > 0] // each[each > 0]).min())
+            for n in range(most, 0 if whole else most - 1, -1):
+                yield items, n
+
+    def frame(left: np.ndarray, used: int, waste: int):
+        return [left, used, waste, tries(left)]
 
     if not counts.any():
         return alone
@@ -166,14 +206,20 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> li
     opened = 1
     while stack and best > bound and opened < max(nodes, 4 * capacity):
         left, used, waste, options = stack[-1]
-        items = next(options, None)
-        if items is None:
+        option = next(options, ())
+        if option is None:
+            opened += 1
+            continue
+        if not option:
             stack.pop()
             if path:
                 path.pop()
+            if not stack and not whole:  # the promising ones are through: what is left of the nodes goes to all
+                whole = True
+                stack.append(frame(counts, used0, 0))
             continue
+        items, n = option
         each = np.bincount(items, minlength=capacity + 1)
-        n = int((left[each > 0] // each[each > 0]).min())
         after, now = left - n * each, used + n
         lost = waste + n * (capacity - sum(items))
         rest = int((after * sizes).sum())

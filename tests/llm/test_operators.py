@@ -341,6 +341,32 @@ def test_plan_is_least(seed):
     assert packing.lower_bound(counts, 30) <= least_bins(sizes, 30) == sum(n for _, n in plan)
 
 
+def test_plan_goes_on_to_all_fillings():
+    """Middle lengths whose least plan needs a filling that is not promising, or one used less often than it could be."""
+    cases = [
+        (100, 9, {22: 4, 23: 4, 27: 6, 50: 11}), (60, 5, {12: 5, 14: 7, 19: 5, 22: 2}), (100, 10, {24: 9, 27: 6, 33: 12, 43: 5}),
+        (60, 6, {16: 3, 17: 9, 25: 6}), (100, 8, {26: 5, 28: 5, 33: 6, 44: 7}),
+    ]
+    for capacity, least, pieces in cases:
+        counts = np.bincount([s for s, n in pieces.items() for _ in range(n)], minlength=capacity + 1)
+        got = packing.plan(counts, capacity)
+        assert sum(n for _, n in got) == least
+        assert (sum(np.bincount(items, minlength=capacity + 1) * n for items, n in got) == counts).all()
+
+
+def test_maximal_fillings():
+    import itertools
+
+    rng = random.Random(2)
+    for _ in range(200):
+        free, pieces = rng.randint(0, 30), sorted(rng.choices(range(1, 15), k=rng.randint(0, 8)), reverse=True)
+        sets = {c for n in range(len(pieces) + 1) for c in itertools.combinations(pieces, n) if sum(c) <= free}
+        left = {c: [s for s in set(pieces) if pieces.count(s) > c.count(s)] for c in sets}
+        want = sorted(c for c in sets if all(sum(c) + s > free for s in left[c]))
+        counts = np.bincount(pieces, minlength=31) if pieces else np.zeros(31, dtype=int)
+        assert sorted(f for f in packing.maximal(counts, free) if f is not None) == want
+
+
 # ---- 6 -----------------------------------------------------------------------
 
 
