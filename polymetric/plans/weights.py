@@ -9,7 +9,7 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import Metric, distance
@@ -53,31 +53,27 @@ def regress(pairs: DataFrame, truth: Column, n: int, folds: int = 3, near: float
     return Learned([float(x) for x in best.coefficients], rmse, share)
 
 
-def contrast(pairs: DataFrame, truth: Sequence[float], epochs: int = 60, rate: float = 0.5, negatives: int = 32) -> Learned:
+def contrast(pairs: DataFrame, truth: Sequence[float], epochs: int = 60, rate: float = 0.5) -> Learned:
     """Weights that put each anchor's true nearest row first.
 
     Loss: minus the log of e^-d of the positive over that sum of the positive
-    and the negatives, with its true gradient; one aggregate an epoch.  A
-    bounded number of negatives an anchor, nearest by plain sum, takes part.
+    and all other rows of the anchor, with its true gradient; one aggregate by
+    anchor an epoch, of which a row an anchor is left.
     """
     n = len(truth)
-    by = Window.partitionBy("anchor")
-    rows = pairs.withColumn("t", combined(truth, F.col("d")))
-    rows = rows.withColumn("r", F.row_number().over(by.orderBy("t", "other"))).where(F.col("r") <= negatives + 1).withColumn("positive", F.col("r") == 1).select("anchor", "d", "positive").cache()
+    nearest = pairs.groupBy("anchor").agg(F.min_by(F.struct("other", "d"), F.struct(combined(truth, F.col("d")).alias("t"), "other")).alias("b"))
+    rows = pairs.join(nearest.select("anchor", F.col("b.other").alias("best")), "anchor").select("anchor", "d", (F.col("other") == F.col("best")).alias("positive")).cache()
     w = [1.0 / n] * n
     loss = 0.0
     for _ in range(epochs):
         e = F.exp(-combined(w, F.col("d")))
-        share = e / F.sum(e).over(by)
-        sign = F.when(F.col("positive"), 1.0).otherwise(0.0) - F.col("p")
-        got = rows.withColumn("p", share).agg(
-            F.avg(F.when(F.col("positive"), -F.log("p"))).alias("loss"), F.count_if("positive").alias("m"), *[F.sum(sign * F.col("d")[i]).alias(f"g{i}") for i in range(n)]
-        ).first()
+        by = rows.groupBy("anchor").agg(F.sum(e).alias("all"), F.sum(F.when(F.col("positive"), e)).alias("e"), *[F.sum(e * F.col("d")[i]).alias(f"a{i}") for i in range(n)], *[F.sum(F.when(F.col("positive"), F.col("d")[i])).alias(f"p{i}") for i in range(n)])
+        got = by.agg(F.avg(-F.log(F.col("e") / F.col("all"))).alias("loss"), F.count("*").alias("m"), *[F.sum(F.col(f"p{i}") - F.col(f"a{i}") / F.col("all")).alias(f"g{i}") for i in range(n)]).first()
         if not got["m"]:
             break
         loss = got["loss"]
         w = [max(0.0, x - rate * got[f"g{i}"] / got["m"]) for i, x in enumerate(w)]
-    ranked = rows.withColumn("r", F.row_number().over(by.orderBy(combined(w, F.col("d")))))
-    first = ranked.where("r = 1").agg(F.avg(F.col("positive").cast("double"))).first()[0]
+    ranked = rows.groupBy("anchor").agg(F.min_by("positive", combined(w, F.col("d"))).alias("positive"))
+    first = ranked.agg(F.avg(F.col("positive").cast("double"))).first()[0]
     rows.unpersist()
     return Learned(w, loss, first or 0.0)

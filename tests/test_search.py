@@ -177,6 +177,17 @@ def test_learning_weights(data):
     assert contrast(pairs, truth, epochs=5).rmse > 0
 
 
+def test_contrast_sums_all_negatives(data):
+    _, df = data
+    pairs, truth = anchor_pairs(df.na.drop(), METRICS, "id", 4), [0.6, 0.1, 0.3]
+    by = {}
+    for r in pairs.collect():
+        by.setdefault(r["anchor"], []).append((sum(w * x for w, x in zip(truth, r["d"])), r["other"], list(r["d"])))
+    assert min(len(x) for x in by.values()) > 33
+    want = sum(sum(min(x)[2]) / 3 + math.log(sum(math.exp(-sum(d) / 3) for _, _, d in x)) for x in by.values()) / len(by)
+    assert contrast(pairs, truth, epochs=1).rmse == pytest.approx(want)
+
+
 def test_tuning():
     t = Tuner(lambda k: (0.0, 1.0 + k["pivots"], 1.0))
     best = t.search(10)
