@@ -9,15 +9,14 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import shared_folder
+from ..plans.storage import application_folder, discard, written
 from ..plans.suite import query, table
+from .contraction import roots
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iteration with a table in the shared folder."""
-    path = shared_folder(df.sparkSession, f"graph-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, "graph")
 
 
 def limited(rounds: int | None) -> Iterator[int]:
@@ -45,6 +44,7 @@ def pregel(vertices: DataFrame, edges: DataFrame, message: Column, merge, update
         m = aggregate_messages(v, edges, message, None, merge)
         new = cut(v.join(m, "id", "left").select("id", update.alias("new"), "value"))
         changed = new.where(~F.col("new").eqNullSafe(F.col("value"))).limit(1).count()
+        discard(v)
         v = new.select("id", F.col("new").alias("value"))
         if not changed:
             return v
@@ -61,10 +61,24 @@ def page_rank(vertices: DataFrame, edges: DataFrame, rounds: int = 10, reset: fl
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """``id, component``: the least id that edges reach, either way."""
-    both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-    v = pregel(vertices.select("id", F.col("id").alias("value")), both, F.col("src_value"), F.min, F.least("value", F.coalesce("msg", "value")), rounds)
-    return v.withColumnRenamed("value", "component")
+    """``id, component``: the least id that edges reach, either way.
+
+    Edges to ids that are no vertices count for nothing.  The graph is
+    contracted, which takes few rounds whatever its diameter.  With
+    ``rounds``, labels move an edge a round instead, and it is an error if
+    they are not still after so many.
+    """
+    if rounds is not None:
+        both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
+        v = pregel(vertices.select("id", F.col("id").alias("value")), both, F.col("src_value"), F.min, F.least("value", F.coalesce("msg", "value")), rounds)
+        return v.withColumnRenamed("value", "component")
+    known = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    for end in ("a", "b"):
+        known = known.join(vertices.select(F.col("id").alias(end)), end, "left_semi")
+    found = cut(roots(known.select("a", "b")))
+    least = found.groupBy("root").agg(F.min("node").alias("least"))
+    named = found.join(least, "root").select(F.col("node").alias("id"), "least")
+    return vertices.select("id").join(named, "id", "left").select("id", F.coalesce("least", "id").alias("component"))
 
 
 def shortest_paths(vertices: DataFrame, edges: DataFrame, landmark: int, rounds: int | None = None) -> DataFrame:
@@ -131,7 +145,7 @@ def _supplies(spark, sf) -> DataFrame:
     return s.select(F.col("s_nationkey").cast("long").alias("src"), F.pmod(F.col("s_suppkey") * 7 + 3, F.lit(25)).alias("dst")).where("src <> dst").distinct()
 
 
-_E = "e AS (SELECT DISTINCT CAST(s_nationkey AS BIGINT) AS src, (s_suppkey * 7 + 3) % 25 AS dst FROM supplier WHERE s_suppkey <= 60 AND s_nationkey <> (s_suppkey * 7 + 3) % 25)"
+_E = "e AS (SELECT DISTINCT CAST(s_nationkey AS BIGINT) AS src, (s_suppkey * 7 + 3) % 25 AS dst FROM supplier WHERE s_nationkey <> (s_suppkey * 7 + 3) % 25)"
 
 
 @query(f"WITH {_E} SELECT dst AS id, CAST(count(*) AS BIGINT) AS msg FROM e GROUP BY dst")
@@ -219,7 +233,7 @@ def graph_group_edges(spark, sf):
 @query(f"WITH {_E} SELECT src, dst FROM e")
 def graph_edge_list_file(spark, sf):
     """Edges written as lines of two ids, with a comment line, and read."""
-    path = shared_folder(spark, f"edges-{uuid.uuid4().hex}")
+    path = f"{application_folder(spark)}/edges-{uuid.uuid4().hex}"
     lines = _graph(spark, sf)[1].select(F.concat_ws(" ", "src", "dst").alias("value"))
     lines.union(spark.createDataFrame([("# comment",)], "value string")).write.text(path)
     return spark.read.csv(path, sep=" ", comment="#", schema="src long, dst long")

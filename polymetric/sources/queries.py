@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-from ..plans.storage import shared_folder
+from ..plans.storage import application_folder
 from ..plans.suite import query, table
 from .formats import GridSource, read_records
 
 
 def place(spark: SparkSession, name: str) -> str:
-    return shared_folder(spark, f"{name}-{uuid.uuid4().hex}")
+    return f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 _PART = "SELECT p_partkey, p_name, p_size, p_retailprice FROM part"
@@ -228,7 +228,7 @@ def source_jdbc(spark, sf):
     return back.select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name")
 
 
-@query("SELECT CAST(p_size AS DOUBLE) AS label, round(p_retailprice, 2) AS v FROM part WHERE p_partkey <= 50")
+@query("SELECT CAST(p_size AS DOUBLE) AS label, round(p_retailprice, 2) AS v FROM part")
 def source_libsvm(spark, sf):
     from pyspark.ml.functions import vector_to_array
 

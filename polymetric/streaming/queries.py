@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..plans.storage import shared_folder
+from ..plans.storage import application_folder
 from ..plans.suite import query, table
 
 SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
@@ -18,7 +18,7 @@ SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING,
 
 def folder(spark: SparkSession) -> str:
     """A new folder for checkpoints and sinks, where all executors see it."""
-    return shared_folder(spark, f"stream-{uuid.uuid4().hex}")
+    return f"{application_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+import __spark_entry__  # noqa: F401  (registers all queries)
 from polymetric.operators import graph
 from polymetric.plans.suite import QUERIES, SQL
 
