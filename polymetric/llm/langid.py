@@ -1,7 +1,7 @@
 """Language identification by compression.
 
-Every language has a zstandard raw-content dictionary, cut from a bounded
-sample of labelled texts.  A text is compressed whole with each dictionary
+Every language has a zstandard raw-content dictionary, put together from
+pieces of a bounded sample of labelled texts.  A text is compressed whole with each dictionary
 and belongs to the language that makes it smallest.
 """
 
@@ -12,19 +12,26 @@ from collections.abc import Iterator
 
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship, text_or_empty, without
+from .common import ship, text_or_empty, without
 
-#: A language's dictionary: at most so many bytes, from at most so many texts,
-#: at most so many bytes of each.
-DICT_BYTES, DICT_TEXTS, TEXT_BYTES = 128 << 10, 512, 512
-#: Languages learned at most, the most frequent ones; their dictionaries are held by each worker.
-MOST_LANGS = 512
+#: A language's dictionary has at most DICT_BYTES, and all of them ALL_BYTES: the more
+#: languages there are, the smaller their dictionaries.  Each worker holds them all.
+DICT_BYTES, ALL_BYTES = 128 << 10, 64 << 20
+#: Characters that one text gives to a dictionary.
+PIECE = 256
+#: With more languages than this, dictionaries would say nothing: learning refuses.
+MOST_LANGS = 16_384
 LEVEL = 6
 UNKNOWN = "und"
-letter = re.compile(r"[^\W\d_]").search
+word_like = re.compile(r"[^\W\d_]").finditer
+
+
+def letter(text: str) -> bool:
+    """Whether some character is a letter (marks, numbers in letters and fractions are none)."""
+    return any(m[0].isalpha() for m in word_like(text))
 
 
 def fold(text: str) -> bytes:
@@ -33,23 +40,33 @@ def fold(text: str) -> bytes:
 
 
 def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
-    """Dictionaries by language, the most frequent one first, from the rows with the smallest hashes of each.
-
-    Rows with a null language or an empty text teach nothing.  The sample is
-    bounded by the parameters above, whatever the table's size.
+    """Dictionaries by language, the most frequent one first.
+
+    The rows of a language are dealt over hash slots, and the row with the
+    least hash in each slot gives PIECE characters, from a place in the whole
+    text that its hash names.  So the sample is bounded by slots, whatever
+    the table's size, no language is left out, and tasks combine slots before
+    they send them.  Rows with a null language or an empty text teach
+    nothing; repeated rows count once.
     """
-    rows = labelled.where(F.col(lang).isNotNull() & (F.octet_length(text_or_empty(text)) > 0))
-    h = F.xxhash64(F.lit(10), F.col(key).cast("string"), F.xxhash64(text))
-    ranked = rows.select(F.col(lang).alias("lang"), h.alias("h"))
-    some = ranked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= DICT_TEXTS).select("lang", "h").distinct()
-    frequent = [r["lang"] for r in ranked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()]
-    chosen = materialize(some.where(F.col("lang").isin(frequent)), "lang-sample")
-    body = rows.select(F.col(lang).alias("lang"), h.alias("h"), F.substring(text, 1, TEXT_BYTES).alias("t"))
-    texts = materialize(body.join(F.broadcast(chosen), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]), "lang-texts")
-    out: dict[str, list[bytes]] = {k: [] for k in frequent}
-    for r in texts.orderBy("lang", "h").toLocalIterator():
-        out[r["lang"]].append(fold(r["t"])[:TEXT_BYTES])
-    return {k: b"".join(v)[:DICT_BYTES] for k, v in out.items()}
+    body = F.col(text).cast("string")
+    rows = labelled.where(F.col(lang).isNotNull() & (F.octet_length(text_or_empty(text)) > 0)).select(F.col(lang).alias("lang"), F.col(key).alias("key"), body.alias("t"))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGS + 1).collect()}
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
+    if not counts:
+        return {}
+    size = min(DICT_BYTES, ALL_BYTES // len(counts))
+    h = F.xxhash64(F.lit(10), F.col("key").cast("string"), F.xxhash64("t"))
+    slot = F.pmod(F.xxhash64(F.lit(11), "h"), F.lit(2 * size // PIECE))
+    start = F.pmod(F.xxhash64(F.lit(12), "h"), F.greatest(F.lit(1), F.length("t") - PIECE + 1)) + 1
+    piece = F.substring("t", start.cast("int"), F.lit(PIECE))
+    some = rows.withColumn("h", h).select("lang", slot.alias("slot"), "h", piece.alias("piece"))
+    found: dict[str, list[tuple[int, str]]] = {k: [] for k in counts}
+    for r in some.groupBy("lang", "slot").agg(F.min(F.struct("h", "piece")).alias("m")).collect():  # at most 2 * ALL_BYTES characters
+        found[r["lang"]].append((r["m"]["h"], r["m"]["piece"]))
+    frequent = sorted(counts, key=lambda k: (-counts[k], k))
+    return {k: b"".join(fold(piece) for _, piece in sorted(found[k]))[:size] for k in frequent}
 
 
 class Classifier:
@@ -93,7 +110,7 @@ def identify(df: DataFrame, contents: dict[str, bytes], text: str = "text", narr
     """
     spark = df.sparkSession
     ship(spark)
-    known = spark.sparkContext.broadcast(contents)  # at most MOST_LANGS * DICT_BYTES
+    known = spark.sparkContext.broadcast(contents)  # at most ALL_BYTES
 
     @F.pandas_udf("lang string, score double")
     def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
