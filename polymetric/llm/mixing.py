@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, text_or_empty, without
+from .common import WORD, fresh, materialize, text_or_empty, without
 
 #: A hash has LEVELS digits of BITS bits.
 LEVELS, BITS = 5, 12
@@ -53,14 +53,16 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: float
 
 
 def thresholds(narrow: DataFrame, plan: DataFrame) -> DataFrame:
-    """``plan`` with ``copies`` (whole ones) and ``below``: hashes under it count once more.
+    """``plan`` with ``copies`` (whole ones), ``below``, ``until``, ``take`` and ``n``.
 
     Documents in the order of their hashes are taken as long as their words
-    stay within what is left of the target, and one more hash if that comes
-    nearer to it; equal hashes are taken together.
+    stay within what is left of the target, and one more document if that
+    comes nearer to it: those whose hash is under ``below``, and of the ``n``
+    documents at the boundary, from there and under ``until``, ``take``.  More
+    than one is there only if key and text are equal, so their sizes are too.
     """
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    state = plan.withColumn("copies", whole.cast("int")).withColumn("left", F.col("target") - F.col("copies") * F.col("source_size")).withColumn("prefix", F.lit(0).cast("long"))
+    state = plan.withColumn("copies", whole.cast("int")).withColumn("left", F.col("target") - F.col("copies") * F.col("source_size")).withColumn("left0", F.col("left")).withColumn("prefix", F.lit(0).cast("long"))
     state = materialize(state, "mix-state")
     for level in range(1, LEVELS + 1):
         shift = BITS * (LEVELS - level)
@@ -76,7 +78,7 @@ def thresholds(narrow: DataFrame, plan: DataFrame) -> DataFrame:
         )
         state = materialize(
             state.drop("words", "n").join(edge, state["source"].eqNullSafe(edge["es"]), "left").select(
-                "source", "source_size", "target", "copies",
+                "source", "source_size", "target", "copies", "left0",
                 (F.col("left") - F.coalesce("gone", F.lit(0))).alias("left"),
                 # No boundary here: the source holds no more than its budget.
                 F.coalesce("bucket", F.shiftleft(F.col("prefix") + 1, BITS) - F.lit(1)).alias("prefix"),
@@ -86,10 +88,13 @@ def thresholds(narrow: DataFrame, plan: DataFrame) -> DataFrame:
             "mix-state",
         )
         if level == LEVELS or (state.agg(F.max("n")).first()[0] or 0) <= 1:
-            # A boundary bucket now holds one hash; it is taken if that comes nearer.
-            nearer = F.col("words") - F.col("left") < F.col("left")
-            below = F.shiftleft(F.col("prefix") + F.when(nearer, 1).otherwise(0), shift)
-            return state.select("source", "source_size", "target", "copies", below.alias("below"))
+            each = F.when(F.col("n") > 0, F.col("words") / F.col("n"))
+            whole = F.floor(F.col("left") / each)
+            over = F.col("left") - whole * each
+            take = F.coalesce(F.least(whole + F.when(each - over < over, 1).otherwise(0), F.col("n")), F.lit(0))
+            below = F.when(F.col("left0") > 0, F.shiftleft(F.col("prefix") + F.when(F.col("n") == 0, 1).otherwise(0), shift)).otherwise(F.lit(0))
+            until = F.shiftleft(F.col("prefix") + 1, shift)
+            return state.select("source", "source_size", "target", "copies", below.alias("below"), until.alias("until"), take.cast("long").alias("take"), "n")
     raise AssertionError("unreachable")
 
 
@@ -97,32 +102,54 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5,
     """All columns of ``df`` with ``size, source_size`` (long), ``target`` (double) and ``copies`` (int).
 
     A null text has size 0; a null source is a source of its own, the last
-    one.  Rows equal in key and text share a hash and are taken or left
-    together.  An empty table gives an empty one; reruns agree.  Columns of
-    ``df`` with these four names are replaced.
+    one.  Rows equal in key and text share a hash; at the boundary as many of
+    them are taken as come nearest to the target, and which ones is open.  No
+    row has more than ``cap`` copies.  An empty table gives an empty one;
+    reruns agree.  Columns of ``df`` with these four names are replaced.
+
+    The table is read once and written with its sizes and hashes.
     """
-    data = without(df, "size", "source_size", "target", "copies", "__hash", "__source", "__below")
+    data = without(df, "size", "source_size", "target", "copies")
+    h, row = fresh(data, "mix_hash"), fresh(data, "mix_row")
     text = text_or_empty()
-    sized = data.withColumn("size", F.regexp_count(text, F.lit(WORD)).cast("long")).withColumn("__hash", mix_hash(F.col(key), text, seed))
-    narrow = materialize(sized.where("size > 0").select("source", "size", F.col("__hash").alias("hash")), "mix-sizes")
-    sizes = sized.select("source").distinct().alias("a").join(
-        narrow.groupBy("source").agg(F.sum("size").alias("words")).withColumnRenamed("source", "s").alias("b"),
-        F.col("source").eqNullSafe(F.col("s")), "left",
-    ).select("source", F.coalesce("words", F.lit(0)).cast("long").alias("source_size"))
+    sized = data.withColumn("size", F.regexp_count(text, F.lit(WORD)).cast("long")).withColumn(h, mix_hash(F.col(key), text, seed))
+    sized = materialize(sized.withColumn(row, F.monotonically_increasing_id()), "mix-sized")
+    narrow = sized.where("size > 0").select("source", "size", F.col(h).alias("hash"))
+    sizes = sized.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("source_size"))
     plan = thresholds(narrow, materialize(targets(sizes, weights, share, cap), "mix-targets"))
-    plan = plan.withColumnRenamed("source", "__source").withColumnRenamed("below", "__below").withColumnRenamed("copies", "__copies")
-    out = sized.join(plan, sized["source"].eqNullSafe(plan["__source"]))
-    return out.withColumn("copies", (F.col("__copies") + F.when(F.col("__hash") < F.col("__below"), 1).otherwise(0)).cast("int")).drop("__hash", "__source", "__below", "__copies")
+    mine = plan.select(*[F.col(c).alias(f"{h}_{c}") for c in plan.columns])
+    p = {c: F.col(f"{h}_{c}") for c in plan.columns}
+    joined = sized.join(mine, sized["source"].eqNullSafe(p["source"])).withColumns({"source_size": p["source_size"], "target": p["target"]})
+    # Boundaries are documents; without words there is nothing to come near with.
+    edge = (p["n"] > 0) & (F.col("size") > 0) & (F.col(h) >= p["below"]) & (F.col(h) < p["until"])
+    if (plan.agg(F.max("n")).first()[0] or 0) <= 1:
+        more = F.when(edge, p["take"]).when(F.col(h) < p["below"], 1).otherwise(0)
+        out = joined.withColumn("copies", (p["copies"] + more).cast("int"))
+    else:
+        # Equal rows are ranked by the task that wrote them, so none ranks them all.
+        part = F.shiftright(F.col(row), 33)
+        at, before, rank = f"{h}_at", f"{h}_before", f"{h}_rank"
+        block = joined.where(edge).withColumn(at, part)
+        counts = block.groupBy(f"{h}_source", at).agg(F.count("*").alias(rank))
+        first = counts.select(F.col(f"{h}_source").alias(f"{h}_s"), F.col(at).alias(f"{at}_s"), (F.sum(rank).over(Window.partitionBy(f"{h}_source").orderBy(at)) - F.col(rank)).alias(before))
+        within = F.row_number().over(Window.partitionBy(f"{h}_source", at).orderBy(row))
+        ranked = block.withColumn(rank, within).join(first, F.col(f"{h}_source").eqNullSafe(F.col(f"{h}_s")) & (F.col(at) == F.col(f"{at}_s")))
+        taken = ranked.withColumn("copies", (p["copies"] + F.when(F.col(before) + F.col(rank) <= p["take"], 1).otherwise(0)).cast("int"))
+        rest = joined.where(~edge).withColumn("copies", (p["copies"] + F.when(F.col(h) < p["below"], 1).otherwise(0)).cast("int"))
+        names = [*data.columns, "size", "source_size", "target", "copies"]
+        out = rest.select(*[F.col(f"`{c}`") for c in names]).unionByName(taken.select(*[F.col(f"`{c}`") for c in names]))
+    return out.select(*[F.col(f"`{c}`") for c in (*data.columns, "size", "source_size", "target", "copies")])
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
     """The mixture itself: each row as often as it is taken, without the columns of the plan."""
-    rows = mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return rows.drop("size", "source_size", "target", "copies", "__copy")
+    copy = fresh(mixed, "copy")
+    rows = mixed.where("copies > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return rows.drop("size", "source_size", "target", "copies", copy)
 
 
 def mix_query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
