@@ -5,61 +5,23 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import discard, written  # noqa: F401
+
 #: White space of the contracts: the space and code points 9 to 13.
 SPACES = " \t\n\x0b\x0c\r"
 #: A word, as Java's and Python's regular expressions spell it.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests on one machine) a folder under
-    the temporary one is taken and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.gettempdir()}/polymetric-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    This cuts the lineage as a checkpoint does, survives lost executors, and
-    gives the planner the true size of the table.
-    """
-    spark = df.sparkSession
-    top = f"{shared_dir(spark)}/polymetric-{spark.sparkContext.applicationId}"
-    path = f"{top}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _remember(spark, top)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_TOPS: set[str] = set()
-
-
-def _remember(spark: SparkSession, top: str) -> None:
-    if top in _TOPS:
-        return
-    _TOPS.add(top)
-    context = spark.sparkContext
-
-    def clean() -> None:
-        if context._jsc is not None:
-            path = context._jvm.org.apache.hadoop.fs.Path(top)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
-    atexit.register(clean)
+    """``written``: Parquet in the shared folder, read back."""
+    return written(df, name)
 
 
 def ship(spark: SparkSession) -> None:
@@ -78,6 +40,7 @@ def ship(spark: SparkSession) -> None:
         for f in sorted(package.rglob("*.py")):
             out.write(f, f.relative_to(package.parent))
     context.addPyFile(name)
+    atexit.register(Path(name).unlink, missing_ok=True)
     context._polymetric_shipped = True
 
 
@@ -87,11 +50,47 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def hashable(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` in a form that Spark can hash: those with maps in them as JSON, with the keys in order where they are strings."""
+    out = []
+    for f in df.schema.fields:
+        c, said = F.col(f"`{f.name}`"), f.dataType.simpleString()
+        if said in ("void", "variant"):
+            continue
+        if said.startswith("map<") and "map<" not in said[4:]:
+            c = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c)))) if said.startswith("map<string,") else F.to_json(c)
+        elif "map<" in said:
+            c = F.to_json(c)
+        out.append(c)
+    return out
+
+
 def row_hash(df: DataFrame, seed: int) -> Column:
-    """A seeded 64-bit hash of all columns that Spark can hash (maps are left out)."""
-    cols = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() not in ("void", "variant")]
-    return F.xxhash64(F.lit(seed), *cols)
+    """A seeded 64-bit hash of all columns (but of types that hold nothing or anything)."""
+    return F.xxhash64(F.lit(seed), *hashable(df))
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About how much memory a row takes: its strings and binaries, nested columns as JSON, and 8 for each of the others."""
+    total, fixed = F.lit(0).cast("long"), 64
+    for f in df.schema.fields:
+        c, said = F.col(f"`{f.name}`"), f.dataType.simpleString()
+        if said in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0))
+        elif said.startswith(("array<", "map<", "struct<")):
+            total = total + F.coalesce(F.octet_length(F.to_json(c)), F.lit(0))
+        else:
+            fixed += 8
+    return total + fixed

@@ -29,7 +29,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from ..operators.contraction import roots
+from .common import SPACES, discard, fresh, materialize, ship
 
 WORDS = 5
 #: Similarity as a fraction: 100 * intersection >= 80 * union.
@@ -239,49 +240,22 @@ def similar(overlap: Column, n: Column, m: Column) -> Column:
     return BOTTOM * overlap >= TOP * (n + m - overlap)
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of ``a, b`` (numbers of classes) those whose sets are similar.
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """Of ``a, b`` (numbers of classes) those whose sets are similar, as a table ``name``.
 
     Sets are made again from one document of each class that a pair names.
     """
     nodes = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
     needed = materialize(classes.join(nodes, "cid").select("cid", "c1", "c2", "rep"), "needed")
-    keys = small(materialize(needed.select(F.col("rep.doc_id").alias("rid"), F.col("rep.th").alias("rth")), "needed-keys"))
+    keys = small(needed.select(F.col("rep.doc_id").alias("rid"), F.col("rep.th").alias("rth")))
     some = docs.join(keys, (docs["th"] == keys["rth"]) & docs["doc_id"].eqNullSafe(keys["rid"]), "left_semi")
     found = materialize(sets(some).join(needed.select("cid", "c1", "c2"), ["c1", "c2"]).select("cid", "shingles"), "sets")
     b = pairs.join(found.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")), "b")
     both = b.join(found.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a")
     overlap = F.size(F.array_intersect("sa", "sb"))
-    return both.where(similar(overlap, F.size("sa"), F.size("sb"))).select("a", "b")
-
-
-def roots(edges: DataFrame) -> DataFrame:
-    """``node, root`` for the nodes of undirected ``a, b``: one root a component.
-
-    Every node points to the least of its neighbours and itself, two pointers
-    are followed at once, and edges are drawn again between what nodes point
-    to.  The graph shrinks by a constant factor at least until no edge is left.
-    """
-    e = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    nodes = None
-    while not e.isEmpty():
-        sym = e.select("a", "b").union(e.select("b", "a"))
-        up = sym.groupBy(F.col("a").alias("v")).agg(F.least("v", F.min("b")).alias("p"))
-        up = materialize(up, "parents")
-        over = up.select(F.col("v").alias("p"), F.col("p").alias("q"))
-        up = materialize(up.join(over, "p").select("v", F.col("q").alias("p")), "grandparents")
-        if nodes is None:
-            nodes = up.select(F.col("v").alias("node"), F.col("p").alias("root"))
-        else:
-            m = up.select(F.col("v").alias("root"), "p")
-            nodes = nodes.join(m, "root", "left").select("node", F.coalesce("p", "root").alias("root"))
-        nodes = materialize(nodes, "roots")
-        a, b = up.select(F.col("v").alias("a"), F.col("p").alias("pa")), up.select(F.col("v").alias("b"), F.col("p").alias("pb"))
-        e = e.join(a, "a").join(b, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
-        e = materialize(e, "edges")
-    if nodes is None:
-        nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
-    return nodes
+    links = materialize(both.where(similar(overlap, F.size("sa"), F.size("sb"))).select("a", "b"), name)
+    discard(needed, found)
+    return links
 
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -315,8 +289,7 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     groups = written.groupBy("n", "gid", "prefix").agg(F.count("*").alias("k"))
     posts = groups.select("gid", "n", "k", F.posexplode("prefix").alias("pos", "token"))
     token = Window.partitionBy("token")
-    posts = posts.select("token", "gid", "n", "pos", F.sum("k").over(token).alias("all"))
-    posts = materialize(posts.where("all > 1").drop("all"), "postings")
+    posts = posts.select("token", "gid", "n", "pos", F.sum("k").over(token).alias("all")).where("all > 1").drop("all")
     # A group is the more central, the less of its prefix is its own: the text that copies were made from, say.
     group = Window.partitionBy("gid", "n")
     lonely = 1 - F.count("*").over(group) / (F.col("n") - behind(F.col("n")))
@@ -341,7 +314,7 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     for r in range(ROUNDS):
         pairs = star(u, head, r)
         pairs = materialize(pairs.union(inside) if r == 0 else pairs, "star")
-        found = materialize(verified(pairs, classes, docs), "links")
+        found = verified(pairs, classes, docs, "links")
         tried, links = (pairs, found) if r == 0 else (tried.union(pairs), links.union(found))
         if r == 0 or not found.isEmpty():
             label = labelled(links)
@@ -366,11 +339,13 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         # What is linked already is one node now.
-        more = materialize(verified(rest, classes, docs), "more-links")
+        more = verified(rest, classes, docs, "more-links")
         of = label.select(F.col("cid").alias("a"), F.col("component").alias("ca")), label.select(F.col("cid").alias("b"), F.col("component").alias("cb"))
         joined = roots(more.join(of[0], "a").join(of[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         moved = label.join(joined, label["component"] == joined["node"], "left").withColumn("component", F.coalesce("root", "component"))
-        label = materialize(moved.select("c1", "c2", "component", "rep"), "relabelled")
+        before, label = label, materialize(moved.select("c1", "c2", "component", "rep"), "relabelled")
+        discard(before, more)
+    discard(written, posts, rest, u, pairs, found)
     return rows, label.select("c1", "c2", "component", "rep")
 
 
@@ -432,15 +407,17 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Of each component of ``df`` the row with the least id (rows equal in id and text: one of them), all columns.
 
-    Rows without any word are linked with nothing and stay, each of them.
+    Rows without any word are linked with nothing and stay, each of them; so
+    does every column, whatever its name.  An empty table gives an empty one.
     """
     rows, classes = jaccard_components(df, key, text)
-    kept = classes.groupBy("component").agg(F.min("rep").alias("rep")).select(F.col("rep.doc_id").alias("__id"), F.col("rep.th").alias("__rth"))
+    th, its_id, its_th = fresh(df, "text_hash"), fresh(df, "kept_id"), fresh(df, "kept_hash")
+    kept = classes.groupBy("component").agg(F.min("rep").alias("rep")).select(F.col("rep.doc_id").alias(its_id), F.col("rep.th").alias(its_th))
     kept = small(materialize(kept, "kept"))
-    hashed = df.withColumn("__th", F.xxhash64(F.col(text).cast("string")))
-    empty = F.coalesce(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")), F.lit("")) == ""
-    one = hashed.where(~empty).join(kept, F.col("__th").eqNullSafe(F.col("__rth")) & F.col(key).eqNullSafe(F.col("__id")), "left_semi")
-    return one.dropDuplicates([key, "__th"]).unionByName(hashed.where(empty)).drop("__th")
+    hashed = df.withColumn(th, F.xxhash64(F.col(text).cast("string")))
+    empty = F.btrim(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(SPACES)) == ""
+    one = hashed.where(~empty).join(kept, F.col(th).eqNullSafe(F.col(its_th)) & F.col(key).eqNullSafe(F.col(its_id)), "left_semi")
+    return one.dropDuplicates([key, th]).unionByName(hashed.where(empty)).drop(th)
 
 
 def jaccard_query(spark, sf_dir: str) -> DataFrame:

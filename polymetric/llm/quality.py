@@ -54,7 +54,7 @@ def counted(df: DataFrame, text: str = "text") -> DataFrame:
     data = data.withColumn("__hashes", windows)
     h = F.col("__hashes")
     # Most texts repeat no window: only the others pay for a sort.
-    twice = F.when(F.size(F.array_distinct(h)) < F.size(h), F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
+    twice = F.when(F.size(F.array_distinct(h)) < F.size(h), F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
     data = data.withColumn("__sorted", twice)
     s = F.col("__sorted")
     again = F.filter(s, lambda e, k: ((k > 0) & (F.get(s, k - 1)["h"] == e["h"])) | ((k < F.size(s) - 1) & (F.get(s, k + 1)["h"] == e["h"])))
@@ -97,7 +97,7 @@ def log_odds(names: list[str], share_bad: float, theta: dict[str, list[list[floa
     """Of being bad, given the votes in columns ``names``.
 
     The weights are one array, not numbers spread over the expression: Spark
-    compiles the same code for every round.
+    compiles the same code for every corpus.
     """
     weights = [math.log(b / g) for bad, good in zip(theta["bad"], theta["good"]) for b, g in zip(bad, good)]
     table = F.array(*map(F.lit, [*weights, math.log(share_bad / (1 - share_bad))]))
@@ -110,28 +110,30 @@ def log_odds(names: list[str], share_bad: float, theta: dict[str, list[list[floa
 def fit(patterns: DataFrame, names: list[str]) -> tuple[float, dict[str, list[list[float]]]]:
     """Share of bad texts and vote shares by class, from patterns of votes with their counts ``n``.
 
-    The driver holds the parameters alone; each round is one aggregate over
-    the patterns.
+    There are at most ``len(VOTES) ** len(names)`` patterns, whatever the
+    corpus: one job counts them, and the rounds are sums over that table.
     """
     theta = {y: [list(PRIOR[y]) for _ in names] for y in PRIOR}
     share = PRIOR_BAD
-    hits = {(name, v): F.when(F.col(name) == v, F.col("n")).otherwise(0) for name in names for v in VOTES}
-    every = patterns.agg(F.sum("n").alias("n"), *[F.sum(e).alias(f"{k[0]}{k[1]}") for k, e in hits.items()]).first()
-    total = every["n"] or 0
+    seen = [(r["n"], [r[name] - VOTES[0] for name in names]) for r in patterns.select("n", *names).collect()]
+    total = sum(n for n, _ in seen)
     if not total:
         return share, theta
     weight = STRENGTH * total
     for _ in range(ROUNDS):
-        bad = 1 / (1 + F.exp(-log_odds(names, share, theta)))
-        found = patterns.agg(F.sum(bad * F.col("n")).alias("n"), *[F.sum(bad * e).alias(f"{k[0]}{k[1]}") for k, e in hits.items()]).first()
-        new = {"bad": [], "good": []}
-        for name in names:
-            got = [found[f"{name}{v}"] for v in VOTES]
-            rest = [every[f"{name}{v}"] - x for v, x in zip(VOTES, got)]
-            new["bad"].append([(x + weight * p) / (found["n"] + weight) for x, p in zip(got, PRIOR["bad"])])
-            new["good"].append([(max(x, 0.0) + weight * p) / (total - found["n"] + weight) for x, p in zip(rest, PRIOR["good"])])
+        sums = {y: [[0.0] * len(VOTES) for _ in names] for y in PRIOR}
+        all_bad, base = 0.0, math.log(share / (1 - share))
+        odds = [[math.log(b / g) for b, g in zip(bad, good)] for bad, good in zip(theta["bad"], theta["good"])]
+        for n, votes in seen:
+            bad = n / (1 + math.exp(-base - sum(odds[j][v] for j, v in enumerate(votes))))
+            all_bad += bad
+            for j, v in enumerate(votes):
+                sums["bad"][j][v] += bad
+                sums["good"][j][v] += n - bad
+        texts = {"bad": all_bad, "good": total - all_bad}
+        new = {y: [[(x + weight * p) / (texts[y] + weight) for x, p in zip(row, PRIOR[y])] for row in sums[y]] for y in PRIOR}
         moved = max(abs(a - b) for y in new for p, q in zip(new[y], theta[y]) for a, b in zip(p, q))
-        share, theta = (found["n"] + weight * PRIOR_BAD) / (total + weight), new
+        share, theta = (all_bad + weight * PRIOR_BAD) / (total + weight), new
         if moved < TOLERANCE:
             break
     return share, theta
@@ -152,9 +154,7 @@ def judge(df: DataFrame, text: str = "text", carry_text: bool = True) -> DataFra
         data = data.drop(text)
     written = materialize(data, "quality")
     names = list(votes)
-    # One partition, so that a round moves nothing: the table has 3 to the power of the rules' number of rows at most.
-    patterns = materialize(written.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1), "votes").coalesce(1)
-    share, theta = fit(patterns, names)
+    share, theta = fit(written.groupBy(*names).agg(F.count("*").alias("n")), names)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     good = 1 / (1 + F.exp(log_odds(names, share, theta)))
     out = written.withColumns({"base_failed": failed, "p_good": good})

@@ -16,15 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, row_hash, ship, without
+from .common import materialize, row_bytes, row_hash, ship, without
 
 #: Beyond so many buckets (16 bytes each) their offsets are joined, not broadcast.
 BROADCAST_BUCKETS = 1_000_000
+#: Rows that are equal in all columns meet in one bucket, unless there are more of them than this.
+ALIKE = 1024
 
 
-def bucket_count(total_bytes: int, partitions: int, least: int = 1 << 20, most: int = 256 << 20) -> int:
-    """Buckets for so many bytes: four or more a shuffle partition, of 1 to 256 MiB each."""
-    size = min(most, max(least, total_bytes // max(1, 4 * partitions)))
+def bucket_count(total_bytes: int, least: int = 1 << 20, most: int = 256 << 20) -> int:
+    """Buckets for so many bytes, of 1 to 256 MiB each: their size grows with the root of the whole, so that both stay few."""
+    size = min(most, max(least, math.isqrt(total_bytes << 16)))
     return max(1, math.ceil(total_bytes / size))
 
 
@@ -35,22 +37,32 @@ def fisher_yates(seed: int, bucket: int, hashes: np.ndarray) -> np.ndarray:
     return order
 
 
-def external_shuffle(df: DataFrame, n_shards: int = 8, seed: int = 20_17, text: str = "text", buckets: int | None = None) -> DataFrame:
+def external_shuffle(df: DataFrame, n_shards: int = 8, seed: int = 20_17, buckets: int | None = None) -> DataFrame:
     """All columns of ``df`` with ``shard`` (int) and ``slot`` (long, gapless from 0 in a shard).
 
     Shard counts differ by one at most.  Every row counts, whatever it holds:
     nulls are values like others, repeated rows are shuffled like others, and
-    an empty table gives an empty one.  Rows equal in all columns meet in one
-    bucket; rows that share only a key or a text do not.  Columns of ``df``
-    named ``shard`` or ``slot`` are replaced.
+    an empty table gives an empty one.  Rows equal in all columns are spread
+    over the buckets too where there are more than ALIKE of them; as nothing
+    tells them apart, their order is open.  Columns of ``df`` named ``shard``
+    or ``slot`` are replaced.
+
+    The number of buckets follows from the bytes of all columns alone, so
+    the same table and seed give the same shards on any cluster.
     """
     spark = df.sparkSession
     ship(spark)
-    data = without(df, "shard", "slot", "__bucket", "__hash", "__pos")
+    data = without(df, "shard", "slot", "__bucket", "__hash", "__pos", "__alike", "__place")
     if buckets is None:
-        total = data.agg(F.sum(F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 64)).first()[0] or 0
-        buckets = bucket_count(total, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        buckets = bucket_count(data.agg(F.sum(row_bytes(data))).first()[0] or 0)
     hashed = data.withColumn("__hash", row_hash(data, seed))
+    alike = materialize(hashed.groupBy("__hash").count().where(F.col("count") > ALIKE).select(F.col("__hash").alias("__alike")), "alike")
+    n_alike = alike.count()
+    if n_alike:
+        known = F.broadcast(alike) if n_alike <= BROADCAST_BUCKETS else alike
+        place = F.xxhash64("__hash", F.monotonically_increasing_id())
+        hashed = hashed.withColumn("__place", place).join(known, F.col("__hash") == F.col("__alike"), "left")
+        hashed = hashed.withColumn("__hash", F.when(F.col("__alike").isNotNull(), F.col("__place")).otherwise(F.col("__hash"))).drop("__alike", "__place")
     scattered = hashed.withColumn("__bucket", F.pmod("__hash", F.lit(buckets)).cast("int"))
 
     def shuffle(table: pa.Table) -> pa.Table:
