@@ -3,8 +3,8 @@
 The field labels tokens by word-shape features of the token and its two
 neighbours.  It is trained on the driver from a small labelled table, and its
 spans are added where no pattern matched: addresses with "[at]" and "[dot]",
-phone numbers without a plus sign, card numbers with dots or slashes between
-their groups.  Spans of digits must pass the pattern's own check (Luhn, number of
+network addresses with bracketed dots, phone numbers without a plus sign, card
+numbers with dots or slashes between their groups.  Spans of digits must pass the pattern's own check (Luhn, number of
 digits, parts up to 255), so numbers that only look alike stay out.
 
 Decoding does not visit plain words.  ``gap`` proves on the trained weights
@@ -94,16 +94,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # ---- the field ------------------------------------------------------------
 
 LABELS = ("O", *KINDS)
-#: A token is a stretch without white space; the longest whose shape is looked at.
-LONG = 80
-#: A card number has no more digits, a phone number less.
-MOST_DIGITS = 19
+#: A token is a stretch without white space.  One that is longer than this, or
+#: has more digits than a card number can have (a phone number has less), is cut
+#: at punctuation before the field sees it, so what is inside is found too.
+LONG, MOST_DIGITS = 80, 19
+#: No address is longer: 64 characters, the at sign and 255, with room for spelling them out.
+ADDRESS = 328
 #: Places in a text that can hold something else than plain words.
 _odd = re.compile(r"[0-9@\[({]").finditer
 _space = re.compile(r"[ \t-\r]").search
 _marks = re.compile(r"[\[({](?:at|dot)[\])}]", re.I)
 _token = re.compile(r"[^ \t-\r]+")
-_part = re.compile(r"[^ \t-\r,;|]+").finditer
+#: Cuts of a long token, each used where the one before leaves it long: at what
+#: separates entities, at what no entity holds, and between words and numbers.
+_cuts = (
+    re.compile(r"[^ \t-\r,;|]+").finditer,
+    re.compile(r"[\w@.%+\-/\[\](){}]+").finditer,
+    re.compile(r"[0-9+(][0-9()+./_-]*|[^0-9+(]+").finditer,
+)
+_slash = re.compile(r"[^/]+").finditer
+_bracketed = re.compile(r"[0-9]{1,3}(?:\s?[\[({](?:\.|dot)[\])}]\s?[0-9]{1,3}){3}", re.I).fullmatch
+_number = re.compile(r"[0-9]+").findall
 
 
 def token_shape(token: str) -> str:
@@ -126,7 +137,10 @@ def shape(token: str) -> str:
             out.append("a")
         else:
             out.append(s[0])
-    return "".join(out)[:24]
+    return "".join(out)
+
+
+_zeros = re.compile(r"0+").sub
 
 
 def plain(token: str) -> bool:
@@ -137,12 +151,12 @@ PLAIN, EDGE = "a", "|edge|"
 
 
 def features(shapes: list[str], left: str = EDGE, right: str = EDGE) -> list[list[str]]:
-    """For each token: its shape, its neighbours', and coarser ones of its own."""
+    """For each token: its shape, its neighbours', and coarser ones of its own, such as one in which all numbers are alike."""
     padded = [left, *shapes, right]
     out = []
     for i, s in enumerate(shapes, 1):
         digits, kinds = s.count("0"), "".join(sorted({c for c in s if not c.isalnum()}))
-        out.append([f"s={s}", f"p={padded[i - 1]}", f"n={padded[i + 1]}", f"d={min(digits, 12)}", f"k={kinds}", f"m={s[:1]}{s[-1:]}"])
+        out.append([f"s={s}", f"p={padded[i - 1]}", f"n={padded[i + 1]}", f"d={min(digits, 12)}", f"k={kinds}", f"c={_zeros('0', s)}", f"m={s[:1]}{s[-1:]}"])
     return out
 
 
@@ -167,7 +181,8 @@ def labelled_table(seed: int = 4) -> list[tuple[list[str], list[int]]]:
     def email():
         o, c = pick([("[", "]"), ("(", ")"), ("{", "}")])
         local, host, top = pick(names) + pick(["", num(2)]), pick(hosts), pick(tops)
-        return [local, f"{o}at{c}", host, f"{o}dot{c}", top] if rng.random() < 0.7 else [local, f"{o}at{c}", f"{host}.{top}"]
+        spelled = pick([[local, f"{o}at{c}", host, f"{o}dot{c}", top], [local, f"{o}at{c}", host, f"{o}dot{c}", top], [local, f"{o}at{c}", f"{host}.{top}"]])
+        return ["".join(spelled)] if rng.random() < 0.4 else spelled
 
     def phone():
         a, b, c = num(3), num(3), num(4)
@@ -177,6 +192,12 @@ def labelled_table(seed: int = 4) -> list[tuple[list[str], list[int]]]:
         s, by = card(), pick(["/", ".", "_"])
         return [by.join((s[:4], s[4:8], s[8:12], s[12:]))]
 
+    def address():
+        o, c = pick([("[", "]"), ("(", ")"), ("{", "}")])
+        a = [str(rng.integers(0, 10 ** int(rng.integers(1, 4))) % 256) for _ in range(4)]
+        by = pick([f"{o}.{c}", f"{o}dot{c}"])
+        return [by.join(a)] if rng.random() < 0.6 else [a[0], by, a[1], by, a[2], by, a[3]]
+
     def nothing():
         return pick([[num(4)], [num(int(rng.integers(1, 4)))], [f"{num(2)}.{num(2)}.{num(4)}"], [f"{num(4)}-{num(2)}-{num(2)}"], [f"({num(4)})"], [f"{num(1)}.{num(1)}.{num(1)}"], ["[1]"], [f"${num(3)}"], [f"{num(2)}:{num(2)}"], [f"{num(3)},{num(3)}"], [num(16)], ["(see"], ["{x}"], [f"x{num(3)}"], [f"+{num(1)}"], [f"{num(3)}%"], ["a@b"], [f'"{num(6)}abc{num(5)}"']])
 
@@ -186,8 +207,8 @@ def labelled_table(seed: int = 4) -> list[tuple[list[str], list[int]]]:
         for _ in range(int(rng.integers(1, 4))):
             for _ in range(int(rng.integers(1, 5))):
                 tokens.append(pick(words)), labels.append(0)
-            kind = int(rng.integers(0, 7))
-            made, label = ((email(), 1), (cardnumber(), 3), (phone(), 4))[kind] if kind < 3 else (nothing(), 0)
+            kind = int(rng.integers(0, 8))
+            made, label = ((email(), 1), (cardnumber(), 3), (phone(), 4), (address(), 2))[kind] if kind < 4 else (nothing(), 0)
             tokens += made
             labels += [label] * len(made)
             if rng.random() < 0.3:
@@ -364,11 +385,13 @@ def checked(kind: int, text: str, start: int, end: int) -> tuple[int, int] | Non
     while end > start and text[end - 1] in ".,;:!?\"'":
         end -= 1
     s = text[start:end]
-    if not s or len(s) > 4 * LONG:
+    if not s:
+        return None
+    if kind == 0 and len(s) > ADDRESS:
         return None
     if kind == 0 and not ("@" in s or re.search(r"[\[({]at[\])}]", s, re.I)):
         return None
-    if kind == 1 and not (re.fullmatch(r"[0-9]+(?:\.[0-9]+){3}", s) and ip_ok(s)):
+    if kind == 1 and not (re.fullmatch(r"[0-9]+(?:\.[0-9]+){3}", s) and ip_ok(s) or _bracketed(s) and all(int(n) <= 255 for n in _number(s))):
         return None
     if kind == 2 and not card_ok(s):
         return None
@@ -378,10 +401,23 @@ def checked(kind: int, text: str, start: int, end: int) -> tuple[int, int] | Non
 
 
 def parts(text: str, a: int, b: int) -> list[tuple[int, int]]:
-    """A token with more digits than an entity can have, or longer than LONG, cut at commas, semicolons and bars."""
-    if (b - a > LONG and any(_odd(text, a, b))) or len(_digits(text[a:b])) > MOST_DIGITS:
-        return [m.span() for m in _part(text, a, b)] or [(a, b)]
-    return [(a, b)]
+    """A token with more digits than an entity can have, or longer than LONG, cut at punctuation as far as that goes."""
+
+    def large(x: int, y: int) -> bool:
+        return (y - x > LONG and any(_odd(text, x, y))) or len(_digits(text[x:y])) > MOST_DIGITS
+
+    out = [(a, b)]
+    for cut in _cuts:
+        if not any(large(x, y) for x, y in out):
+            return out
+        out = [s for x, y in out for s in ([m.span() for m in cut(text, x, y)] or [(x, y)] if large(x, y) else [(x, y)])]
+    # Slashes stand inside cards, but between numbers too.
+    done = []
+    for x, y in out:
+        by_slash = [m.span() for m in _slash(text, x, y)] if large(x, y) else []
+        whole = len(by_slash) > 1 and all(len(_digits(text[p:q])) >= 9 for p, q in by_slash)
+        done += by_slash if whole else [(x, y)]
+    return done
 
 
 def apart(kind: int, text: str, run: list[tuple[int, int]], free: Callable[[tuple[int, int]], bool]) -> list[tuple[int, int]]:
@@ -392,7 +428,7 @@ def apart(kind: int, text: str, run: list[tuple[int, int]], free: Callable[[tupl
         digits = 0
         for u in range(t, len(run)):
             digits += len(_digits(text[run[u][0] : run[u][1]])) if kind else 0
-            if digits > MOST_DIGITS or run[u][1] - run[t][0] > 4 * LONG + 8:
+            if digits > MOST_DIGITS or (kind == 0 and run[u][1] - run[t][0] > ADDRESS):
                 break
             n = u + 1 - t + best[u + 1][0]
             if n > best[t][0] and (span := checked(kind, text, run[t][0], run[u][1])) and free(span):
