@@ -38,7 +38,7 @@ TOP, BOTTOM = 80, 100
 #: Shingles found in a stretch of STRETCH shingles LOCAL times or more are
 #: counted; of those with HOT or more in all, the HOTTEST most frequent ones
 #: go last in the order.  This only steers the order: any order is correct.
-STRETCH, LOCAL, HOT, HOTTEST = 4_000_000, 2, 8, 1 << 20
+STRETCH, LOCAL, HOT, HOTTEST = 1 << 21, 2, 8, 1 << 20
 #: Rounds of stars, and hubs of a group in each.
 ROUNDS, HUBS = 1, 3
 #: Words whose hashes a worker remembers.
@@ -137,8 +137,12 @@ def signatures(docs: DataFrame) -> DataFrame:
         id_type = None
 
         def frequent() -> pa.RecordBatch:
-            values, times = np.unique(np.concatenate(held), return_counts=True)
-            values, times = values[times >= LOCAL], times[times >= LOCAL]
+            every = np.concatenate(held)
+            held.clear()
+            every.sort()  # in place: a worker holds a stretch about once
+            first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+            times = np.diff(first, append=len(every))
+            values, times = every[first[times >= LOCAL]], times[times >= LOCAL]
             zero = np.zeros(len(values), dtype=np.int64)
             return pa.RecordBatch.from_arrays(
                 [pa.nulls(len(values), id_type), _i64(zero), _i64(times), _i64(values.view(np.int64)), _i64(zero), _i64(zero + 1)],
@@ -161,7 +165,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             )
             if size >= STRETCH:
                 yield frequent()
-                held, size, seen = [], 0, set()
+                size, seen = 0, set()
         if held:
             yield frequent()
 
