@@ -77,6 +77,26 @@ def time(a: Any, b: Any) -> Column:
     return F.abs(F.unix_timestamp(a) - F.unix_timestamp(b if isinstance(b, Column) else F.lit(b).cast("timestamp_ntz"))).cast("double")
 
 
+def _ints(c: Any) -> Column:
+    return (F.col(c) if isinstance(c, str) else c if isinstance(c, Column) else F.lit(c)).cast("int")
+
+
+def day_difference(a: Any, b: Any) -> Column:
+    """Days between two days written as the number yyyymmdd, either way round; null where one is no day."""
+    a, b = (F.try_to_date(F.lpad(_ints(c).cast("string"), 8, "0"), "yyyyMMdd") for c in (a, b))
+    return F.abs(F.datediff(a, b)).cast("long")
+
+
+def second_difference(a: Any, b: Any) -> Column:
+    """Seconds between two times of day written as the number hhmmss, either way round."""
+
+    def seconds(c: Any) -> Column:
+        n = _ints(c)
+        return F.floor(n / 10000) * 3600 + F.floor(n / 100) % 100 * 60 + n % 100
+
+    return F.abs(seconds(a) - seconds(b)).cast("long")
+
+
 def edit(a: Any, b: Any, within: int | None = None) -> Column:
     """Levenshtein distance; null, if ``within`` is given, where it is larger."""
     a, b = (F.col(a) if isinstance(a, str) else a), (b if isinstance(b, Column) else F.lit(b))
