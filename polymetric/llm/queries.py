@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import digests
 from .jaccard import JACCARD_SQL, jaccard_query
 from .langid import langid_query
 from .mixing import MIX_SQL, mix_query
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_mixing": mix_query,
     "op9_jaccard_join": jaccard_query,
     "op10_language_id": langid_query,
+    **digests.QUERIES,
 }
 
-ORACLE_SQL = {"op8_mixing": MIX_SQL, "op9_jaccard_join": JACCARD_SQL}
+ORACLE_SQL = {"op8_mixing": MIX_SQL, "op9_jaccard_join": JACCARD_SQL, **digests.SQL}

@@ -22,7 +22,7 @@ def test_against_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() > 0
+    assert len(QUERIES[name](spark, SF).collect()) > 0  # a count would let the engine leave columns out
 
 
 def test_all_are_registered():
