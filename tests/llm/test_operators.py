@@ -646,3 +646,130 @@ def test_langid(spark):
 def test_langid_learns_nothing(spark, docs, none):
     assert langid.learn(none) == {} and langid.identify(none, {}).count() == 0
     assert {r["lang_pred"] for r in langid.identify(docs, {}).collect()} == {"und"}
+
+
+# ---- rows that are hard to spread, limits that are none, names that clash ---------
+
+
+def test_mix_takes_some_of_equal_rows(spark):
+    """Rows that nothing tells apart are not one block: the words taken come near the target."""
+    rows = [(None, "same old words in each row", None, "s", 0)] * 500 + [(i, "w " * (i % 9), None, "s" if i % 2 else "t", 0) for i in range(1000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    out = mixing.mix(df).groupBy("source").agg({"target": "max", "copies": "max"}).collect()
+    taken = {r["source"]: r["t"] for r in mixing.mix(df).selectExpr("source", "copies * size AS c").groupBy("source").agg({"c": "sum"}).withColumnRenamed("sum(c)", "t").collect()}
+    for r in out:
+        assert abs(taken[r["source"]] - r["max(target)"]) <= 6 and r["max(copies)"] <= 2
+
+
+def test_mix_empty_texts_stay_within_the_cap(spark):
+    df = spark.createDataFrame([(i, "" if i % 2 else "two words", None, "a" if i % 3 else "b", 0) for i in range(300)], SCHEMA)
+    assert max(r["copies"] for r in mixing.mix(df, (50, 1)).collect()) <= 2
+
+
+def test_sharding_spreads_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ALIKE", 50)
+    df = spark.createDataFrame([(1, "same")] * 2000 + [(i, f"t{i}") for i in range(2000)], "doc_id long, text string").repartition(6)
+    out = sharding.external_shuffle(df, 8, buckets=40).select("shard", "slot", "text").collect()
+    counts = collections.Counter(r["shard"] for r in out)
+    assert max(counts.values()) - min(counts.values()) <= 1 and len(out) == 4000
+    same_in = collections.Counter(r["shard"] for r in out if r["text"] == "same")
+    assert max(same_in.values()) < 450  # of 500 rows in a shard; one bucket would fill shards
+
+
+def test_sharding_columns_by_brute_force(spark):
+    """The query's digest columns, and its permutation, against plain Python."""
+    import __spark_entry__
+
+    sf = "/root/testdata/sf0.001"
+    got = [tuple(r) for r in __spark_entry__.queries()["op2_external_shuffle"](spark, sf).collect()]
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    same([(g[0], g[1], g[2], g[3], g[6]) for g in got], [(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), "rows", None) for i, t in docs])
+    hashed = spark.read.parquet(f"{sf}/documents.parquet")
+    hashes = {r[0]: r[1] for r in hashed.select("doc_id", sharding.row_hash(hashed, 2017)).collect()}
+    total = hashed.agg({"*": "count"}).first()[0]
+    n = sharding.bucket_count(hashed.agg(sharding.F.sum(sharding.row_bytes(hashed))).first()[0])
+    order = []
+    for b in range(n):
+        ids = [i for i in hashes if hashes[i] % n == b]
+        ids.sort(key=lambda i: hashes[i])
+        h = np.array([hashes[i] for i in ids], dtype=np.int64)
+        order += [ids[j] for j in sharding.fisher_yates(2017, b, h)]
+    shard = {i: k * 8 // total for k, i in enumerate(order)}
+    first = {s: -(-s * total // 8) for s in range(8)}
+    assert {(g[0], g[4], g[5]) for g in got} == {(i, shard[i], k - first[shard[i]]) for k, i in enumerate(order)}
+
+
+def test_sharding_with_maps(spark):
+    df = spark.createDataFrame([(1, "t", {"a": i}) for i in range(40)], "doc_id long, text string, m map<string,int>")
+    assert len({r[0] for r in df.select(sharding.row_hash(df, 1)).collect()}) == 40
+    assert sharding.external_shuffle(df, 4).count() == 40
+
+
+def test_langid_leaves_no_language_out(spark):
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choices("abcdefgh", k=30)), f"l{i % 700:03}") for i in range(2100)]
+    learned = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(learned) == 700 and all(learned.values()) and sum(map(len, learned.values())) <= langid.ALL_BYTES
+
+
+def test_langid_reads_whole_texts(spark):
+    """What tells the language may stand anywhere in a text."""
+    rng = random.Random(5)
+    rows = [(i, "x" * 3000 + " " + voice(rng, "aa" if i % 2 else "bb", 400), "aa" if i % 2 else "bb") for i in range(200)]
+    learned = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    model = langid.Classifier(learned)
+    assert all(model.predict(voice(rng, v, 20))[0] == v for v in ("aa", "bb") for _ in range(20))
+
+
+def test_langid_by_plain_zstandard(spark):
+    import zstandard
+
+    rng = random.Random(6)
+    contents = {k: " ".join(voice(rng, k, 300) for _ in range(3)).encode() for k in VOICES}
+    texts = [voice(rng, rng.choice(list(VOICES)), rng.randint(1, 40)) for _ in range(150)] + ["²³ ½ 12", "", "Ⅷ", "A"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(df, contents).collect()}
+    for i, t in enumerate(texts):
+        if not any(c.isalpha() for c in t):
+            assert got[i] == ("und", 0.0)
+            continue
+        sizes = []
+        for k in contents:
+            d = zstandard.ZstdCompressionDict(contents[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=langid.LEVEL)
+            sizes.append(len(zstandard.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False).compress(f" {t.lower()} ".encode())))
+        first, second = sorted(sizes)[:2]
+        assert got[i] == (list(contents)[sizes.index(first)], (second - first) / second)
+
+
+def test_pii_inside_long_tokens():
+    field = pii.train(pii.labelled_table())
+
+    def shown(text):
+        base, more = next(pii.spans_of([text], field, field.gap(), {}))
+        return pii.masked(text, base + more)
+
+    assert shown("a" * 100 + "?card=4111/1111/1111/1111") == "a" * 100 + "?card=<CARD>"
+    assert shown("q" * 90 + "|(555)123-4567|" + "z" * 90) == "q" * 90 + "|<PHONE>|" + "z" * 90
+    assert shown("call 555-123-4567/555-987-6543 now") == "call <PHONE>/<PHONE> now"
+    assert shown("host 10[.]2[.]3[.]4 up") == "host <IP> up" and shown("at 10 [dot] 2 [dot] 3 [dot] 4.") == "at <IP>."
+    assert shown("see 300[.]2[.]3[.]4") == "see 300[.]2[.]3[.]4"
+    for text in ("9" * 200, "aB3/" * 50, "-" * 500, "[1] [2] [3]", "http://example.com/" + "a/b1/" * 30 + "2001-02-03"):
+        assert shown(text) == text
+
+
+def test_jaccard_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "one two three four five", "x"), (2, "One two three four five", "y")], "doc_id long, text string, v string")
+    df = df.selectExpr("*", "v AS text_hash", "v AS KEPT_ID", "v AS kept_hash", "v AS component")
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(1, "one two three four five", *"xxxxx")]
+
+
+def test_roots_of_a_long_path_take_few_rounds(spark, monkeypatch):
+    from polymetric.operators import contraction
+
+    n, seen = 5000, []
+    plain = contraction.written
+    monkeypatch.setattr(contraction, "written", lambda df, name: seen.append(name) or plain(df, name))
+    got = contraction.roots(spark.range(n - 1).selectExpr("id AS a", "id + 1 AS b")).collect()
+    assert len(got) == n and len({r["root"] for r in got}) == 1 and seen.count("parents") <= 10
