@@ -52,13 +52,13 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     best = -(-int((counts * sizes).sum()) // capacity)
     over = np.concatenate([np.cumsum(counts[::-1])[::-1], [0]])  # over[k]: pieces of k or more
     words = np.concatenate([[0], np.cumsum(counts * sizes)])
-    for k in range(1, capacity // 2 + 1):
-        # Pieces of more than capacity - k stand alone, those over half are apart, smaller ones than k are left out.
-        large, middle = int(over[capacity - k + 1]), int(over[capacity // 2 + 1] - over[capacity - k + 1])
-        free = middle * capacity - int(words[capacity - k + 1] - words[capacity // 2 + 1])
-        small = int(words[capacity // 2 + 1] - words[k])
-        best = max(best, large + middle + max(0, -(-(small - free) // capacity)))
-    return best
+    # For every k: pieces of more than capacity - k stand alone, those over half are apart, smaller ones than k are left out.
+    k, half = np.arange(1, capacity // 2 + 1), capacity // 2 + 1
+    large = over[capacity - k + 1]
+    middle = over[half] - large
+    free = middle * capacity - (words[capacity - k + 1] - words[half])
+    small = words[half] - words[k]
+    return max(best, int((large + middle + np.maximum(0, -((free - small) // capacity))).max(initial=0)))
 
 
 def best_fit_decreasing(counts: np.ndarray, capacity: int) -> list[Pattern]:
@@ -224,8 +224,8 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> li
         lost = waste + n * (capacity - sum(items))
         rest = int((after * sizes).sum())
         opened += 1
-        # Waste bound: what is left needs at least its words, or its own lower bound.
-        if now + -(-rest // capacity) >= best or (opened % 16 == 0 and now + lower_bound(after, capacity) >= best):
+        # Waste bound: a better plan has no more free places than this; or what is left needs too many sequences by itself.
+        if lost > (best - 1) * capacity - total or now + lower_bound(after, capacity) >= best:
             continue
         if rest == 0:
             best, incumbent = now, [*alone, *path, (items, n)]
