@@ -55,12 +55,12 @@ def labelled_urls() -> list[tuple[str, str, int]]:
 
 
 def slots(host: str, path: str) -> list[int]:
-    """Hashed n-grams of host and path, apart from each other; each once."""
+    """Hashed n-grams of host and path, apart from each other; each slot once."""
     found = set()
     for name, s in (("h", f"^{host}$"), ("p", f"^{path}$")):
         for n in GRAMS:
             found.update(name + s[i : i + n] for i in range(max(0, len(s) - n + 1)))
-    return [zlib.crc32(g.encode("utf-8", "replace")) & ((1 << BITS) - 1) for g in sorted(found)]
+    return sorted({zlib.crc32(g.encode("utf-8", "replace")) & ((1 << BITS) - 1) for g in found})
 
 
 def train(rows: list[tuple[str, str, int]], epochs: int = 30, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
