@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize, ship
 
-#: Pivots, and how many of them represent a vector.
-PIVOTS, NAMED = 128, 64
+#: Pivots, and how many of them may represent a vector: each block takes the
+#: number with the least cost, where ranking a candidate again counts as RERANK
+#: entries read from inverted files.
+PIVOTS, NAMED, RERANK = 256, (8, 16, 32, 64), 20
 #: Pivots come from at most so many vectors, those with the smallest hashes.
 PIVOT_SAMPLE = 4096
 #: How many of a block's classes are ranked again is measured in the block: so
@@ -39,7 +41,7 @@ def choose_pivots(sample: np.ndarray, n: int = PIVOTS, seed: int = 6) -> np.ndar
     return sample[rng.permutation(len(sample))[:n]]
 
 
-def named(vectors: np.ndarray, pivots: np.ndarray, m: int = NAMED) -> np.ndarray:
+def named(vectors: np.ndarray, pivots: np.ndarray, m: int = NAMED[-1]) -> np.ndarray:
     """The nearest pivots of each vector, nearest first; by angle, equal ones by number."""
     norms = np.linalg.norm(vectors, axis=1, keepdims=True) * np.linalg.norm(pivots, axis=1)
     return np.argsort(-(vectors @ pivots.T) / norms, axis=1, kind="stable")[:, :m]
@@ -48,14 +50,12 @@ def named(vectors: np.ndarray, pivots: np.ndarray, m: int = NAMED) -> np.ndarray
 class Block:
     """The inverted files of one block: for each pivot, the rows that name it and its place there."""
 
-    def __init__(self, vectors: np.ndarray, pivots: np.ndarray):
-        self.vectors, self.n = vectors, len(vectors)
-        order = named(vectors, pivots)
-        self.m = order.shape[1]
+    def __init__(self, vectors: np.ndarray, order: np.ndarray, pivots: int):
+        self.vectors, self.n, self.m = vectors, len(vectors), order.shape[1]
         flat = order.ravel()
         by = np.argsort(flat, kind="stable")
         self.rows, self.place = (by // self.m).astype(np.int32), (by % self.m).astype(np.float32)
-        self.start = np.searchsorted(flat[by], np.arange(len(pivots) + 1))
+        self.start = np.searchsorted(flat[by], np.arange(pivots + 1))
 
     def footrule(self, order: np.ndarray) -> np.ndarray:
         """Distance of every row from a query's ``order``, less what all have in common."""
@@ -77,6 +77,10 @@ class Block:
             needed.extend(np.searchsorted(np.sort(far), far[near], side="right"))
         return max(LEAST, int(np.quantile(needed, AIM))) if needed else LEAST
 
+    def entries(self, orders: np.ndarray) -> float:
+        """Entries of inverted files that one of these queries reads."""
+        return float(np.diff(self.start)[orders].sum(axis=1).mean()) if len(orders) else 0.0
+
     def candidates(self, order: np.ndarray, n: int) -> np.ndarray:
         far = self.footrule(order)
         if n >= self.n:
@@ -85,6 +89,20 @@ class Block:
         return np.flatnonzero(far <= cut)  # ties at the cut are all ranked
 
 
+def cheapest(vectors: np.ndarray, asked: np.ndarray, pivots: np.ndarray, k: int) -> tuple[Block, np.ndarray, int]:
+    """The block with as many named pivots as cost least for the trial queries, the queries' orders, and the candidates needed."""
+    index, orders = named(vectors, pivots), named(asked, pivots)
+    tried = np.linspace(0, len(asked) - 1, min(TRIALS, len(asked))).astype(int)
+    best = None
+    for m in sorted({min(m, index.shape[1]) for m in NAMED}):
+        store = Block(vectors, index[:, :m], len(pivots))
+        need = store.enough(asked[tried], orders[tried, :m], k)
+        cost = store.entries(orders[tried, :m]) + RERANK * min(need, store.n)
+        if best is None or cost < best[0]:
+            best = (cost, store, orders[:, :m], need)
+    return best[1:]
+
+
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     """``id, v``: rows with an id whose vector is not null, empty or zero and holds finite numbers only."""
     v = F.col(vector).cast("array<double>")
@@ -142,13 +160,11 @@ def _search(index: DataFrame, size: int, asked: DataFrame, k: int, block: int, s
     def answer(there: pa.Table, here: pa.Table) -> pa.Table:
         out_q, out_i, out_s = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         if there.num_rows and here.num_rows:
-            store = Block(matrix(there), pivots.value)
+            vectors = matrix(there)
             lists = there.column("ids").combine_chunks()
             starts, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
             asked_ids, asked_v = here.column("id").to_numpy(), matrix(here)
-            orders = named(asked_v, pivots.value, store.m)
-            tried = np.linspace(0, len(asked_ids) - 1, min(TRIALS, len(asked_ids))).astype(int)
-            enough = store.enough(asked_v[tried], orders[tried], k)
+            store, orders, enough = cheapest(vectors, asked_v, pivots.value, k)
             for q, v, order in zip(asked_ids, asked_v, orders):
                 rows = store.candidates(order, enough)
                 scores = (store.vectors[rows] * v).sum(axis=1)
