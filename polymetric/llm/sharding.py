@@ -26,7 +26,7 @@ ALIKE = 1024
 
 def bucket_count(total_bytes: int, least: int = 1 << 20, most: int = 256 << 20) -> int:
     """Buckets for so many bytes, of 1 to 256 MiB each: their size grows with the root of the whole, so that both stay few."""
-    size = min(most, max(least, math.isqrt(total_bytes << 16)))
+    size = min(most, max(least, math.isqrt(total_bytes << 12)))
     return max(1, math.ceil(total_bytes / size))
 
 
