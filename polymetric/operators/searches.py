@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.metrics import ANGLE, EDIT, EUCLID, L1, TIME, Metric, distances
 from ..plans.sql import Engine
-from ..plans.storage import shared_folder
+from ..plans.storage import application_folder
 from ..plans.suite import query, table
 from . import approximate, pivots, text_index
 from .similarity import batch_knn, batch_range, delete, insert, knn_search, range_search, similarity_join
@@ -24,8 +27,10 @@ PART_POINT, PART_WEIGHTS = ["part 7", 20, 1000.0], [1.0, 0.5, 2.0]
 _PART = "(levenshtein(p_name, 'part 7') / 20.0 + 0.5 * abs(p_size - 20) / 50.0 + 2.0 * abs(p_retailprice - 1000.0) / 2000.0)"
 
 
-def _folder(spark) -> str:
-    return shared_folder(spark, "indexes")
+def _folder(spark, sf: str = "") -> str:
+    """A folder of indexes for the tables of ``sf``, or one of its own; it goes with the application."""
+    name = hashlib.md5(sf.encode()).hexdigest() if sf else uuid.uuid4().hex
+    return f"{application_folder(spark)}/indexes-{name}"
 
 
 @query(f"SELECT vec_id, round(d, 6) AS dist FROM (SELECT vec_id, {_L1.format(v=_V)} / 10 + 2 * {_ANG.format(v=_V)} / 180 AS d FROM embeddings) t ORDER BY d, vec_id LIMIT 10")
@@ -89,21 +94,19 @@ def similarity_join_count(spark, sf):
 
 @query(f"SELECT p_partkey, round({_PART}, 6) AS dist FROM part WHERE {_PART} <= 0.6")
 def indexed_range(spark, sf):
-    catalog = pivots.Catalog(spark, _folder(spark))
-    index = catalog.create("part", E(spark, sf, "part"), PART, "by_pivot", "p_partkey")
+    index = pivots.Catalog(spark, _folder(spark, sf)).ensure("part", E(spark, sf, "part"), PART, "p_partkey")
     return index.range_search(PART_POINT, PART_WEIGHTS, 0.6).select("p_partkey", F.round("dist", 6).alias("dist"))
 
 
 @query(f"SELECT p_partkey, round({_PART}, 6) AS dist FROM part ORDER BY {_PART}, p_partkey LIMIT 15")
 def indexed_knn(spark, sf):
-    catalog = pivots.Catalog(spark, _folder(spark))
-    index = catalog.create("part", E(spark, sf, "part"), PART, "by_pivot", "p_partkey")
+    index = pivots.Catalog(spark, _folder(spark, sf)).ensure("part", E(spark, sf, "part"), PART, "p_partkey")
     return index.knn_search(PART_POINT, PART_WEIGHTS, 15).select("p_partkey", F.round("dist", 6).alias("dist"))
 
 
 @query()
 def index_statistics(spark, sf):
-    return pivots.Catalog(spark, _folder(spark)).create("part", E(spark, sf, "part"), PART, "by_pivot", "p_partkey").partition_statistics()
+    return pivots.Catalog(spark, _folder(spark, sf)).ensure("part", E(spark, sf, "part"), PART, "p_partkey").partition_statistics()
 
 
 @query("SELECT 'second' AS \"index\"")
@@ -130,6 +133,22 @@ def insert_points(spark, sf):
     return insert(p, new).agg(F.count("*").alias("n"), F.max("p_partkey").alias("most"))
 
 
+_FIRST = "(SELECT {c} FROM part WHERE p_partkey = (SELECT min(p_partkey) FROM part WHERE p_size = 20))"
+_LEFT = " OR ".join(f"{c} <> {_FIRST.format(c=c)}" for c in ("p_name", "p_size", "p_retailprice"))
+
+
+@query(f"SELECT p_partkey, round({_PART}, 6) AS dist FROM (SELECT p_partkey, p_name, p_size, p_retailprice FROM part UNION ALL SELECT -p_partkey - 1, p_name, p_size, p_retailprice FROM part WHERE p_size = 20) t WHERE {_PART} <= 0.6 AND ({_LEFT})")
+def indexed_changes(spark, sf):
+    """Insert and delete through an index, which another catalog then reads from its folder."""
+    folder, part = _folder(spark), E(spark, sf, "part")
+    index = pivots.Catalog(spark, folder).create("part", part, PART, "changed", "p_partkey")
+    index.insert(part.where("p_size = 20").withColumn("p_partkey", -F.col("p_partkey") - 1))
+    first = part.where("p_size = 20").orderBy("p_partkey").first()
+    index.delete([first["p_name"], float(first["p_size"]), first["p_retailprice"]])
+    again = pivots.Catalog(spark, folder).get("part", "changed")
+    return again.range_search(PART_POINT, PART_WEIGHTS, 0.6).select("p_partkey", F.round("dist", 6).alias("dist"))
+
+
 _TOK = "len(list_intersect(list_distinct(string_split_regex(lower(p_type), '\\s+')), ['small', 'brushed', 'steel']))"
 
 
@@ -183,10 +202,33 @@ def sql_indexed_knn(spark, sf):
     engine.sql("CREATE PIVOT INDEX by_all ON parts (p_name, p_size, p_retailprice)")
     found = engine.sql("SELECT p_partkey, round(dist, 6) AS dist FROM parts WHERE p_name IN KNN(POINT('part 7'|20|1000.0), QUERYM(1,0.5,2), 15)")
     assert engine.sql("SHOW PIVOT INDEXES").count() == 1
-    engine.sql("DROP PIVOT INDEX by_all ON parts")
+    engine.sql("CREATE PIVOT INDEX unused ON parts (p_size)")
+    engine.sql("DROP PIVOT INDEX unused ON parts")
     return found
 
 
+_AT = "POINT('part 7'|20|1000.0),METRICM(6,0,0),QUERYM(1,0.5,2)"
+
+
+@query(f"SELECT p_brand, count(*) AS n, round(avg({_PART}), 6) AS mean FROM part WHERE {_PART} <= 0.9 AND p_size < 30 GROUP BY p_brand")
+def sql_range_grouped(spark, sf):
+    """A similarity predicate beside another one, under an aggregate."""
+    return _engine(spark, sf).sql(f"SELECT p_brand, count(*) AS n, round(avg(dist), 6) AS mean FROM parts WHERE p_name IN RANGE({_AT},0.9) AND p_size < 30 GROUP BY p_brand")
+
+
+@query(f"SELECT p.p_partkey, CAST(sum(l_quantity) AS DOUBLE) AS quantity FROM (SELECT p_partkey FROM part ORDER BY {_PART}, p_partkey LIMIT 15) p JOIN lineitem l ON l.l_partkey = p.p_partkey GROUP BY p.p_partkey")
+def sql_knn_join(spark, sf):
+    """The nearest rows of a table, joined with another one."""
+    E(spark, sf, "lineitem").createOrReplaceTempView("lineitem")
+    return _engine(spark, sf).sql(f"SELECT p.p_partkey, CAST(sum(l_quantity) AS DOUBLE) AS quantity FROM parts p JOIN lineitem l ON l.l_partkey = p.p_partkey WHERE p.p_name IN KNN({_AT},15) GROUP BY p.p_partkey")
+
+
+@query(f"SELECT p_partkey FROM part WHERE NOT ({_PART} <= 0.9) AND p_size = 20 OR p_partkey IN (SELECT p_partkey FROM part WHERE {_PART} <= 0.6)")
+def sql_range_negated(spark, sf):
+    """Predicates under NOT and OR and in a subquery."""
+    return _engine(spark, sf).sql(f"SELECT p_partkey FROM parts a WHERE a.p_name NOT IN RANGE({_AT},0.9) AND p_size = 20 OR p_partkey IN (SELECT b.p_partkey FROM parts b WHERE b.p_name IN RANGE({_AT},0.6))")
+
+
 @query()
 def metric_spread(spark, sf):
     """Largest distance of a thousand random pairs, a size for a metric; an estimate."""

@@ -194,3 +194,36 @@ def test_tuning():
     assert best["pivots"] == min(k["pivots"] for k, _, _ in t.log) and t.change() >= 0
     assert knobs_of([0.0] * len(KNOBS)) == {k: v[0] for k, v in KNOBS.items()}
     assert reward(10, 10, 5) > 0 > reward(10, 10, 20) and reward(10, 5, 8) == 0.0
+
+
+def test_index_lasts(spark, data, tmp_path):
+    """Another catalog of the folder finds an index with what was inserted and deleted; a key that was deleted may come again."""
+    rows, df = data
+    folder, q = f"file://{tmp_path}", [[1.0, 2.0], "abca", 40.0]
+    index = Catalog(spark, folder).create("t", df, METRICS, "i", "id")
+    first = next(r for r in rows if r[1] is not None and r[2])
+    index.delete([list(first[1]), first[2], first[3]])
+    index.insert(df.where(f"id = {rows[5][0]}").withColumn("id", df["id"] + 1000))
+    again = Catalog(spark, folder).get("t", "i")
+    changed = [r for r in rows if r != first] + [(rows[5][0] + 1000, *rows[5][1:])]
+    want = [i for _, i in brute(changed, q, (1.0, 1.0, 1.0))]
+    assert [r["id"] for r in again.knn_search(q, (1, 1, 1), len(changed)).collect()] == want
+    again.insert(df.where(f"id = {first[0]}"))
+    assert Catalog(spark, folder).get("t", "i").table.count() == len(rows) + 1
+    assert Catalog(spark, folder).ensure("t", df, METRICS, "id").name == "i"
+    Catalog(spark, folder).drop("t", "i")
+    assert not Catalog(spark, folder).found
+
+
+def test_sql_predicates_anywhere(spark, data, tmp_path):
+    rows, df = data
+    e = Engine(spark, f"file://{tmp_path}")
+    e.register("t", df, METRICS, "id")
+    far = dict((i, d) for d, i in brute(rows, ([1.0, 2.0], "abca", 40.0), (1, 1, 1)))
+    at = "POINT(1,2|abca|40), (1,1,1)"
+    got = e.sql(f"SELECT a.id, b.x FROM t AS a JOIN t b ON a.id = b.id WHERE a.v IN RANGE({at}, 0.8) AND b.x > 50 OR a.s = 'IN RANGE(' ORDER BY a.id LIMIT 5").collect()
+    assert [r["id"] for r in got] == sorted(i for i, _, _, x in rows if far.get(i, 9) <= 0.8 and x > 50)[:5]
+    got = e.sql("SELECT count(*) AS n FROM t WHERE EUCLID(v, POINT(1, 2)) KNN 7 AND id >= 0").first()["n"]
+    assert got == 7
+    with pytest.raises(ValueError):
+        e.sql(f"SELECT 1 FROM t WHERE nothing IN RANGE({at}, 0.8) AND true")
