@@ -8,6 +8,7 @@ import random
 import pytest
 
 from polymetric.functions.metrics import EDIT, EUCLID, L1, Metric
+from polymetric.operators.proximity import proximity_graph
 from polymetric.operators.trees import rectangle_tree, vantage_tree
 
 from .test_search import levenshtein
@@ -58,3 +59,17 @@ def test_empty(spark):
     assert tree.ball([0.0, 0.0], 9).count() == 0 and tree.nearest([0.0, 0.0], 3).count() == 0 and tree.balance().count() == 0
     boxes = rectangle_tree(none, ["x", "y"])
     assert boxes.box([0, 0], [9, 9]).count() == 0 and boxes.nearest([0, 0], 3, "id").count() == 0
+
+
+def test_proximity(spark, data):
+    """Recall at 10 of a few queries, equal vectors, null vectors, and no rows at all."""
+    rows, df = data
+    graph = proximity_graph(df, "id", "v", shard=150)
+    asked = [[0.1, 0.2], [0.9, 0.4], [0.5, 0.5], [2.0, 2.0]]
+    found = graph.nearest(asked, 10).collect()
+    for q, v in enumerate(asked):
+        want = sorted(math.dist(r[1], v) for r in rows if r[1] is not None)[:10]
+        got = sorted(r["dist"] for r in found if r["query_id"] == q)
+        assert sum(abs(a - b) < 1e-9 for a, b in zip(got, want)) >= 9
+    assert graph.adjacency().count() == sum(r[1] is not None for r in rows)
+    assert proximity_graph(spark.createDataFrame([], SCHEMA), "id", "v").nearest(asked, 3).count() == 0
