@@ -254,3 +254,21 @@ def contrastive_weights(spark, sf):
     got = contrast(anchor_pairs(E(spark, sf, "part"), PART, "p_partkey", 8), [0.6, 0.3, 0.1], epochs=10)
     return spark.createDataFrame([(i, float(w), got.accuracy) for i, w in enumerate(got.weights)], "metric int, weight double, first double")
 
+
+
+@query()
+def list_weights(spark, sf):
+    """Weights by the lists of the first hundred rows; rows are weights, loss and recall."""
+    from ..plans.weights import aggregate_lists, anchor_pairs
+
+    got = aggregate_lists(anchor_pairs(E(spark, sf, "part"), PART, "p_partkey", 4), [0.6, 0.3, 0.1], epochs=10)
+    return spark.createDataFrame([(i, float(w), got.rmse, got.accuracy) for i, w in enumerate(got.weights)], "metric int, weight double, loss double, recall double")
+
+
+@query(f"SELECT p_partkey, round(0.5 * levenshtein(p_name, 'part 7') / 20.0, 6) AS name, round(0.5 * abs(p_size - 20) / 50.0, 6) AS size, round(0.5 * levenshtein(p_name, 'part 7') / 20.0 + 0.5 * abs(p_size - 20) / 50.0, 6) AS total FROM part")
+def weigh_distances(spark, sf):
+    """Distances by their weights, one by one and together."""
+    from ..plans.weights import weigh
+
+    rows = weigh(E(spark, sf, "part").withColumn("d", distances(PART[:2], PART_POINT[:2])), [0.5, 0.5])
+    return rows.select("p_partkey", F.round(F.col("weighted")[0], 6).alias("name"), F.round(F.col("weighted")[1], 6).alias("size"), F.round("total", 6).alias("total"))

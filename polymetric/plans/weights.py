@@ -9,7 +9,7 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import Metric, distance
@@ -77,3 +77,51 @@ def contrast(pairs: DataFrame, truth: Sequence[float], epochs: int = 60, rate: f
     first = ranked.agg(F.avg(F.col("positive").cast("double"))).first()[0]
     rows.unpersist()
     return Learned(w, loss, first or 0.0)
+
+
+def weigh(pairs: DataFrame, weights: Sequence[float]) -> DataFrame:
+    """``pairs`` with ``weighted``, the distances by their weights, and ``total``, their sum."""
+    each = F.transform(F.col("d"), lambda x, i: x * F.element_at(F.array(*[F.lit(float(w)) for w in weights]), i + 1))
+    return pairs.withColumn("weighted", each).withColumn("total", combined(weights, F.col("d")))
+
+
+def firsts(pairs: DataFrame, by: Column, k: int) -> DataFrame:
+    """The ``k`` rows of every anchor that come first, with ``rank``; ties to the smaller key."""
+    rank = F.row_number().over(Window.partitionBy("anchor").orderBy(by, "other"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def recall_at(true: DataFrame, found: DataFrame) -> float:
+    """Share of the pairs of ``true`` that ``found`` has too."""
+    n = true.count()
+    return true.join(found, ["anchor", "other"], "left_semi").count() / n if n else 1.0
+
+
+def aggregate_lists(pairs: DataFrame, truth: Sequence[float], k: int = 100, epochs: int = 100, rate: float = 4.0, enough: float = 0.1) -> Learned:
+    """Weights whose first ``k`` rows of every anchor are the true first ``k``.
+
+    In an epoch the true row of each rank meets the row that has the rank by
+    the current weights; the loss of the two is minus the log of e^-p over
+    e^-p + e^-n, with its true gradient, and both are means over all of them.
+    Ends when the loss is under ``enough``, when the lists agree, or after
+    ``epochs``; the accuracy is the recall of the lists that are returned.
+    """
+    n = len(truth)
+    rows = pairs.cache()
+    true = firsts(rows, combined(truth, F.col("d")), k).select("anchor", "rank", "other", F.col("d").alias("p")).cache()
+    w, loss, got = [0.5] * n, 0.0, 1.0
+    for epoch in range(epochs + 1):
+        found = firsts(rows, combined(w, F.col("d")), k).select("anchor", "rank", F.col("other").alias("instead"), F.col("d").alias("n"))
+        gap = combined(w, F.col("p")) - combined(w, F.col("n"))
+        pull = F.lit(1.0) - F.lit(1.0) / (F.lit(1.0) + F.exp(gap))
+        means = true.join(found, ["anchor", "rank"]).agg(F.avg(F.log1p(F.exp(gap))).alias("loss"), *[F.avg(pull * (F.col("p")[i] - F.col("n")[i])).alias(f"g{i}") for i in range(n)], F.every(F.col("other") == F.col("instead")).alias("same")).first()
+        loss = means["loss"] or 0.0
+        if means["same"] in (None, True) or loss < enough or epoch == epochs:
+            got = recall_at(true, found.withColumnRenamed("instead", "other"))
+            break
+        w = [max(0.0, x - rate * means[f"g{i}"]) for i, x in enumerate(w)]
+        if not any(w):
+            w = [1.0 / n] * n
+    true.unpersist()
+    rows.unpersist()
+    return Learned(w, loss, got)

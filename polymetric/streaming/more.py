@@ -5,8 +5,12 @@ from __future__ import annotations
 import socketserver
 import threading
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..plans.suite import query, table
 from .queries import event_stream, finished, folder
@@ -84,3 +88,86 @@ def stream_socket(spark, sf):
         server.shutdown()
         server.server_close()
     return spark.table(name)
+
+
+def silent(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Count a user's events; say the count when none has come for six hours of event time."""
+    if state.hasTimedOut:
+        (n, _) = state.get
+        state.remove()
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n]})
+        return
+    n, last = state.get if state.exists else (0, 0)
+    for b in batches:
+        n, last = n + len(b), max(last, int(b["at"].max()))
+    state.update((n, last))
+    state.setTimeoutTimestamp(max(last + 6 * 3_600_000, state.getCurrentWatermarkMs() + 1))
+
+
+@query("SELECT user_id, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY user_id HAVING epoch_ms(max(ts)) + 6 * 3600000 < (SELECT epoch_ms(max(ts)) - 3600000 FROM events)")
+def stream_timeouts(spark, sf):
+    """State that ends by a timeout of event time, when the watermark passes it."""
+    s = event_stream(spark, sf).withWatermark("time", "1 hour").select("user_id", "time", F.unix_millis("time").alias("at")).groupBy("user_id")
+    return finished(s.applyInPandasWithState(silent, "user_id long, n long", "n long, last long", "append", GroupStateTimeout.EventTimeTimeout), "append")
+
+
+class PartitionWriter:
+    """A sink that writes a file a partition and batch into a shared folder; one that is written again replaces itself."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def open(self, partition: int, batch: int) -> bool:
+        self.name, self.lines = f"{batch}-{partition}", []
+        return True
+
+    def process(self, row: Row) -> None:
+        self.lines.append(str(row["event_id"]))
+
+    def close(self, error: Exception | None) -> None:
+        from pyarrow import fs
+
+        if error is None and self.lines:
+            files, top = fs.FileSystem.from_uri(self.folder)
+            files.create_dir(top)
+            with files.open_output_stream(f"{top}/{self.name}.txt") as out:
+                out.write("\n".join(self.lines).encode())
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'purchase'")
+def stream_foreach_rows(spark, sf):
+    """Rows handed to a writer with open, process and close in every partition."""
+    top = folder(spark)
+    s = event_stream(spark, sf).where("event_type = 'purchase'").select("event_id")
+    s.writeStream.foreach(PartitionWriter(f"{top}/out")).trigger(availableNow=True).option("checkpointLocation", f"{top}/checkpoint").start().awaitTermination()
+    return spark.read.schema("value string").text(f"{top}/out").select(F.col("value").cast("long").alias("event_id"))
+
+
+_CENTRES = (0.0, 20.0, 60.0)
+_NEAR = "CASE WHEN abs(value - 0.0) <= least(abs(value - 20.0), abs(value - 60.0)) THEN 0 WHEN abs(value - 20.0) <= abs(value - 60.0) THEN 1 ELSE 2 END"
+
+
+@query(f"SELECT CAST({_NEAR} AS INT) AS cluster, round(avg(value), 6) AS centre, CAST(count(*) AS DOUBLE) AS weight FROM events WHERE value IS NOT NULL GROUP BY 1")
+def stream_k_means(spark, sf):
+    """Centres that move with every batch: the mean of the old centre by its weight and of the rows that are nearest to it.
+
+    One batch a file, and old weights are kept whole; a batch that is run
+    again after a failure begins from the centres of the batch before it.
+    """
+    top = folder(spark)
+    history: dict[int, dict[int, tuple[float, float]]] = {-1: {i: (c, 0.0) for i, c in enumerate(_CENTRES)}}
+
+    def move(batch, number: int) -> None:
+        old = history[max(k for k in history if k < number)]
+        far = [F.struct(F.abs(F.col("value") - F.lit(c)).alias("d"), F.lit(i).alias("i")) for i, (c, _) in old.items()]
+        sums = batch.groupBy(F.least(*far)["i"].alias("i")).agg(F.sum("value").alias("s"), F.count("*").alias("n")).collect()
+        new = dict(old)
+        for r in sums:
+            c, w = old[r["i"]]
+            new[r["i"]] = ((c * w + r["s"]) / (w + r["n"]), w + r["n"])
+        history[number] = new
+
+    s = event_stream(spark, sf).where("value IS NOT NULL").select("value")
+    s.writeStream.foreachBatch(move).trigger(availableNow=True).option("checkpointLocation", f"{top}/checkpoint").start().awaitTermination()
+    rows = [(i, round(c, 6), w) for i, (c, w) in history[max(history)].items() if w]
+    return spark.createDataFrame(rows, "cluster int, centre double, weight double")

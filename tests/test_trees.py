@@ -73,3 +73,19 @@ def test_proximity(spark, data):
         assert sum(abs(a - b) < 1e-9 for a, b in zip(got, want)) >= 9
     assert graph.adjacency().count() == sum(r[1] is not None for r in rows)
     assert proximity_graph(spark.createDataFrame([], SCHEMA), "id", "v").nearest(asked, 3).count() == 0
+
+
+def test_list_weights(data):
+    """Lists agree at once for the true weights' direction, and recall does not fall from the even start."""
+    from polymetric.plans.weights import aggregate_lists, anchor_pairs, combined, firsts, recall_at
+
+    _, df = data
+    metrics = (Metric("v", EUCLID), Metric("x", L1, 40.0))
+    pairs = anchor_pairs(df.where("x is not null and id < 400"), metrics, "id", 4)
+    assert aggregate_lists(pairs, [2.0, 2.0], k=20, epochs=3).accuracy == 1.0
+    from pyspark.sql import functions as F
+
+    true = firsts(pairs, combined([3.0, 0.3], F.col("d")), 20)
+    even = recall_at(true, firsts(pairs, combined([0.5, 0.5], F.col("d")), 20))
+    got = aggregate_lists(pairs, [3.0, 0.3], k=20, epochs=40, enough=0.0)
+    assert got.accuracy > even and got.weights[0] > got.weights[1]
