@@ -19,9 +19,25 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows and bytes of a batch that goes to a Python worker while a table is
+#: written; the JVM and the worker both hold a batch whole, some of them twice.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``written``: Parquet in the shared folder, read back."""
-    return written(df, name)
+    """``written``: Parquet in the shared folder, read back; with small batches for Python functions on the way.
+
+    What the session sets itself stays as it is.
+    """
+    conf = df.sparkSession.conf
+    unset = [k for k in BATCH if conf.get(k, None) is None]
+    for k in unset:
+        conf.set(k, BATCH[k])
+    try:
+        return written(df, name)
+    finally:
+        for k in unset:
+            conf.unset(k)
 
 
 def ship(spark: SparkSession) -> None:
