@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
+import pytest
+
 
 import __spark_entry__  # noqa: F401  (registers all queries)
-from polymetric.operators import approximate
+from polymetric.functions.metrics import Metric
+from polymetric.operators import approximate, kernels, similarity
 from polymetric.plans.suite import QUERIES
 
 from .conftest import SF
@@ -29,3 +33,40 @@ def test_links_of_join(spark, monkeypatch):
 def test_join_gives_a_row_a_vector(spark):
     got = QUERIES["lsh_similarity_join"](spark, SF)
     assert got.columns == ["vec_id", "class_id", "links"] and got.count() == spark.read.parquet(f"{SF}/embeddings.parquet").count()
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Equal vectors, ties, other lengths, nulls, huge and infinite components, and a row without a key."""
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").selectExpr("vec_id", "CAST(slice(embedding, 1, 6) AS array<double>) AS v").where("vec_id < 120")
+    more = [(300, None), (301, [1.0]), (302, [None] * 6), (303, [float("nan")] * 6), (304, [float("inf")] * 6), (305, [1e200] * 6), (306, [])]
+    return e.union(e.selectExpr("vec_id + 150", "v")).union(e.where("vec_id = 7").selectExpr("CAST(NULL AS long)", "v")).union(spark.createDataFrame(more, e.schema)).selectExpr("*", "v AS w").cache()
+
+
+@pytest.mark.parametrize("kind", ["l1", "euclid"])
+def test_batches_in_tiles(spark, odd, kind, monkeypatch):
+    """Tiles give the rows, distances and ties of the plan with an expression a pair."""
+    metrics, weights = [Metric("v", kind, 3.0), Metric("w", "l1", 7.0)], [1.0, 0.5]
+    asked = odd.where("vec_id % 9 = 0 or vec_id >= 300")
+    monkeypatch.setattr(similarity, "BATCH", 10)
+    monkeypatch.setattr(similarity, "ROWS", 60)
+
+    def both():
+        near = similarity.batch_knn(odd, asked, metrics, weights, 4, "vec_id")
+        return [{tuple(r) for r in x.collect()} for x in (near, similarity.batch_range(odd, asked, metrics, weights, 0.07, "vec_id"))]
+
+    plan = similarity.batch_range(odd, asked, metrics, weights, 0.07, "vec_id")._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "zip_with" not in plan  # before, an interpreted function a pair
+    got = both()
+    monkeypatch.setattr(similarity, "_tiled", lambda *_: False)
+    assert got == both() and all(got)
+
+
+def test_slack_of_tiles():
+    rng = np.random.default_rng(1)
+    for size in (1e-30, 1e-3, 1.0, 1e10):
+        a, b = (rng.normal(size=(40, 64)) * size for _ in range(2))
+        for kind in ("l1", "euclid"):
+            for i, j, d, off in kernels.rough(kind, a, b):
+                true = kernels.exact(kind, np.repeat(a, 40, axis=0), np.tile(b, (40, 1))).reshape(40, 40)
+                assert np.abs(d - true).max() <= off
