@@ -6,11 +6,13 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 
 import __spark_entry__  # noqa: F401  (registers all queries)
 from polymetric.functions.metrics import Metric
-from polymetric.operators import approximate, kernels, similarity
+from polymetric.operators import approximate, kernels, learning, relational, searches, similarity
+from polymetric.plans import weights
 from polymetric.plans.suite import QUERIES
 
 from .conftest import SF
@@ -70,3 +72,46 @@ def test_slack_of_tiles():
             for i, j, d, off in kernels.rough(kind, a, b):
                 true = kernels.exact(kind, np.repeat(a, 40, axis=0), np.tile(b, (40, 1))).reshape(40, 40)
                 assert np.abs(d - true).max() <= off
+
+
+def test_database_of_many_processes(spark, monkeypatch):
+    """The database is a file that every process can read, not memory of one."""
+    asked = []
+    read = type(spark.read).jdbc
+    monkeypatch.setattr(type(spark.read), "jdbc", lambda self, url, *a, **k: asked.append(url) or read(self, url, *a, **k))
+    got = QUERIES["source_jdbc"](spark, SF)
+    assert got.count() == 25 and got.rdd.getNumPartitions() == 2
+    assert asked and ":memory:" not in asked[0]
+
+
+def test_rows_of_a_task(spark, tmp_path, monkeypatch):
+    """One row group is dealt to tasks of counted size."""
+    monkeypatch.setattr(weights, "ROWS", 60)
+    monkeypatch.setattr(learning, "ROWS", 60)
+    part = spark.read.parquet(f"{SF}/part.parquet")
+    pairs = weights.anchor_pairs(part, searches.PART, "p_partkey", 4)
+    assert part.rdd.getNumPartitions() == 1 and pairs.rdd.getNumPartitions() == 4 and pairs.count() == 4 * 199
+    assert learning._parts(spark, SF).rdd.getNumPartitions() == 4
+    part.crossJoin(spark.range(45)).selectExpr("p_partkey * 45 + id AS p_partkey", *part.columns[1:]).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = QUERIES["fn_xml_columns"](spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() == 2 and got.count() == 9000
+
+
+def test_contrast_deals_no_rows_by_anchor(spark, monkeypatch):
+    """The nearest row of every anchor is sent to the rows, not the rows to it."""
+    part = spark.read.parquet(f"{SF}/part.parquet")
+    pairs, plans = weights.anchor_pairs(part, searches.PART, "p_partkey", 4), []
+    cache = type(pairs).cache
+    monkeypatch.setattr(type(pairs), "cache", lambda self: plans.append(self._jdf.queryExecution().optimizedPlan().toString()) or cache(self))
+    weights.contrast(pairs, [0.6, 0.3, 0.1], epochs=1)
+    assert "rightHint=(strategy=broadcast)" in plans[0].split("anchor", 1)[0] + plans[0][:600]
+
+
+def test_percentiles(spark, monkeypatch):
+    """Exact percentiles over several ranges are those of the engine's own aggregate."""
+    monkeypatch.setattr(relational, "VALUES", 7)
+    df = spark.createDataFrame([(g, v) for g, vs in {"a": [3.0, 1.0, 2.0, 2.0, None, -0.0, 0.0, -5.5], "b": [7.0] * 30 + [8.0], None: [1.0, 4.0], "c": [None], "d": [float("nan"), 1.0, float("inf")], "e": [float(i % 83) / 7 for i in range(400)]}.items() for v in vs], "g string, v double")
+    shares = {"p0": 0.0, "p1": 0.13, "p5": 0.5, "p9": 0.9, "p10": 1.0}
+    got = relational.exact_percentiles(df, "g", "v", shares)
+    want = df.groupBy("g").agg(*[F.percentile("v", F.lit(p)).alias(n) for n, p in shares.items()])
+    assert {repr(tuple(r)) for r in got.collect()} == {repr(tuple(r)) for r in want.collect()}
