@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (registers all queries)
 from polymetric.functions.metrics import Metric
-from polymetric.operators import approximate, kernels, learning, relational, searches, similarity
+from polymetric.operators import approximate, kernels, learning, relational, searches, similarity, trees
 from polymetric.plans import weights
 from polymetric.plans.suite import QUERIES
 
@@ -115,3 +115,12 @@ def test_percentiles(spark, monkeypatch):
     got = relational.exact_percentiles(df, "g", "v", shares)
     want = df.groupBy("g").agg(*[F.percentile("v", F.lit(p)).alias(n) for n, p in shares.items()])
     assert {repr(tuple(r)) for r in got.collect()} == {repr(tuple(r)) for r in want.collect()}
+
+
+def test_rows_go_down_a_tree_in_one_pass(spark):
+    """Leaves of vectors as by the distances: nulls, NaN and other lengths too; no join a level."""
+    rows = spark.createDataFrame([(0, [0.0], 1), (1, [4.0], 1), (2, [9.0], 1), (3, [1.0, 2.0], 1), (4, [None], 1), (5, [float("nan")], 1), (6, None, 0)], "k long, vantage_at array<double>, leaf int")
+    nodes = spark.createDataFrame([(1, [0.0], 5.0), (2, [0.0], 1.0)], "node int, vantage array<double>, reach double")
+    got = trees._placed(rows, nodes, Metric("v", "l1"), 2)
+    assert "Join" not in got._jdf.queryExecution().toString()
+    assert {r["k"]: r["leaf"] for r in got.collect()} == {0: 4, 1: 5, 2: 3, 3: 0, 4: 0, 5: 3, 6: 0}
