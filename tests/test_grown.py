@@ -74,6 +74,24 @@ def test_slack_of_tiles():
                 assert np.abs(d - true).max() <= off
 
 
+def test_tiles_in_whole_numbers(monkeypatch):
+    """Sums of absolute gaps are formed in 16 bits, within their error; not where one component makes the steps coarse, nor in wide vectors."""
+    rng, kinds = np.random.default_rng(2), []
+    plain = kernels.tile
+    monkeypatch.setattr(kernels, "tile", lambda kind, a, b: kinds.append(a.dtype.kind) or plain(kind, a, b))
+    for size, width, far, said in ((1e-20, 64, 0, "i"), (1.0, 64, 0, "i"), (1e10, 64, 0, "i"), (1.0, 64, 1e6, "f"), (1.0, 2000, 0, "f"), (0.0, 64, 0, "f"), (1.0, 40_000, 0, "f")):
+        a, b = (rng.uniform(-size, size, (30, width)) for _ in range(2))
+        a[0, 0] += far
+        kinds.clear()
+        (_, _, d, off), true = *kernels.rough("l1", a, b), np.array([kernels.exact("l1", np.repeat(x[None], 30, axis=0), b) for x in a])
+        assert kinds == [said] and d.dtype == np.float32 and np.abs(d - true).max() <= off
+        radius = float(np.sort(true, axis=None)[100])
+        got = {(r, c): x for rows, columns, near in kernels.within(["l1"], kernels.Scale([1.0], [1.0]), [a], [b], radius) for r, c, x in zip(rows, columns, near)}
+        assert got == {(r, c): true[r, c] for r, c in zip(*np.nonzero(true <= radius))}
+    ends = np.vstack([np.zeros(64), np.ones(64)])  # the largest sum that there is, in 16 bits
+    assert abs(next(kernels.rough("l1", ends, ends))[2][0, 1] - 64) <= 1e-3 and kinds[-1] == "i"
+
+
 def test_database_of_many_processes(spark, monkeypatch):
     """The database is a file that every process can read, not memory of one."""
     asked = []
