@@ -63,6 +63,36 @@ def test_tokens_fuzz():
         assert c.count(t) == len(sp.encode(t)), repr(t)
 
 
+def test_tokens_by_ranks(monkeypatch):
+    """Pieces as ranks give the library's tokens; what they can't be given goes to the library, many pre-tokens a call, and stays cached."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, rng = tokens.library(path), random.Random(3)
+    encode, unfit = tokens.ranks(path)
+    own = sorted({p for i in range(sp.get_piece_size()) if len(p := sp.id_to_piece(i)) == 1 and p != tokens.MARK})
+    pieces = [sp.id_to_piece(i).replace(tokens.MARK, " ") for i in range(300, 9000)]
+    for _ in range(3000):
+        t = " " + "".join(rng.choices(rng.choice([own, own[:90], pieces, ["a", "aa", "A", ".", "n", "e", " ", "é", "中"]]), k=rng.randint(1, 30)))
+        if not unfit(t):
+            assert len(encode(t)) == len(sp.encode(t[1:])), repr(t)
+    assert not unfit(" the own Wörter,\n中") and all(map(unfit, [" a\0", " a  b", " a\t", " \U0001f9ff", " " + "x" * 500, " a\n" + "x" * 500]))
+    calls, c = [], tokens.Counts(path, tokens.prove(path))
+    texts = ["".join(rng.choices("abcdeé.,", k=7)) for _ in range(900)]
+    text = "  ".join(texts)
+    assert c.count(text) == len(sp.encode(text))
+    c.sp = type("Counted", (), {"encode": lambda self, asked, **k: calls.append(asked) or sp.encode(asked, **k)})()
+    assert c.count(text) == len(sp.encode(text)) and not calls
+    monkeypatch.setattr(tokens, "CACHE", 1000)
+    more = "  ".join("".join(rng.choices("uvwxyz\t", k=8)) for _ in range(900))
+    for t in (more, text, more):
+        assert c.count(t) == len(sp.encode(t))
+        assert len(c.known) - len(c.base) <= 1000
+    assert calls and all(isinstance(x, str) for x in calls) and len(calls) < 60
+    monkeypatch.setattr(c, "ranks", None)
+    monkeypatch.setattr(c, "apart", None)
+    c.known, c.old = dict(c.base), {}
+    assert c.count(text) == len(sp.encode(text))
+
+
 def test_tokens_refuse_other_vocabularies(monkeypatch):
     class Crossing:
         def __getattr__(self, name):
