@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 import math
 import sys
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +23,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Rows of a shard, whose vectors and links one task holds.
 SHARD = 10_000
+#: Rows up to which a vector's distances from all of a shard are formed at once; in larger shards those of the visited only.
+ALL = 4096
 LINKS = "shard int, node int, key long, vector array<double>, links array<array<int>>"
 
 
@@ -36,62 +38,79 @@ class Layers:
 
     def build(self, m: int, ef: int, seed: int) -> Layers:
         """Insert one vector after the other: down greedily to its level, then links to the ``m`` nearest on each."""
-        heights = np.floor(-np.log(1 - np.random.default_rng(seed).random(len(self.vectors))) / math.log(m)).astype(int)
+        heights = np.floor(-np.log(1 - np.random.default_rng(seed).random(len(self.vectors))) / math.log(m)).astype(int).tolist()
+        lengths: list[list[list[float]]] = []  # of the links
         for i, height in enumerate(heights):
             self.links.append([[] for _ in range(height + 1)])
+            lengths.append([[] for _ in range(height + 1)])
             if i == 0:
                 continue
+            far = self.distances(self.vectors[i], i)
             top = len(self.links[self.entry]) - 1
             at = [self.entry]
             for level in range(top, height, -1):
-                at = [self.search(self.vectors[i], at, 1, level)[0][1]]
+                at = [self.search(far, at, 1, level)[0][1]]
             for level in range(min(top, height), -1, -1):
-                found = self.search(self.vectors[i], at, ef, level)
+                found = self.search(far, at, ef, level)
                 at = [j for _, j in found]
                 self.links[i][level] = at[:m]
-                for j in at[:m]:
-                    theirs = self.links[j][level]
+                lengths[i][level] = [d for d, _ in found[:m]]
+                most = m if level else 2 * m
+                for d, j in found[:m]:
+                    theirs, own = self.links[j][level], lengths[j][level]
                     theirs.append(i)
-                    most = m if level else 2 * m
+                    own.append(d)
                     if len(theirs) > most:
-                        d = self.far(self.vectors[j], theirs)
-                        self.links[j][level] = [theirs[x] for x in np.argsort(d, kind="stable")[:most]]
+                        order = np.argsort(own, kind="stable")[:most].tolist()
+                        self.links[j][level] = [theirs[x] for x in order]
+                        lengths[j][level] = [own[x] for x in order]
             if height > top:
                 self.entry = i
         return self
 
-    def far(self, v: np.ndarray, nodes: Sequence[int]) -> np.ndarray:
+    def far(self, v: np.ndarray, nodes: Sequence[int] | slice) -> np.ndarray:
         gap = self.vectors[nodes] - v
         return np.sqrt(np.einsum("ij,ij->i", gap, gap))
 
-    def search(self, v: np.ndarray, start: Sequence[int], ef: int, level: int) -> list[tuple[float, int]]:
-        """The ``ef`` nearest that a best-first walk on one level finds, nearest first."""
-        seen = set(start)
-        best = [(-d, j) for d, j in zip(self.far(v, list(start)), start)]
+    def distances(self, v: np.ndarray, among: int) -> Callable[[Sequence[int]], list[float]]:
+        """A function from nodes under ``among`` to their distances from ``v``."""
+        if among > ALL:
+            return lambda nodes: self.far(v, nodes).tolist()
+        row = self.far(v, slice(among)).tolist()
+        return lambda nodes: [row[x] for x in nodes]
+
+    def search(self, far: Callable[[Sequence[int]], list[float]], start: Sequence[int], ef: int, level: int) -> list[tuple[float, int]]:
+        """The ``ef`` nearest that a best-first walk on one level finds, nearest first, by the distances that ``far`` gives."""
+        seen, links = set(start), self.links
+        best = [(-d, j) for d, j in zip(far(start), start)]
         todo = [(-d, j) for d, j in best]
         heapq.heapify(best)
         heapq.heapify(todo)
+        room = ef - len(best)
         while todo:
             d, j = heapq.heappop(todo)
-            if len(best) >= ef and d > -best[0][0]:
+            if room <= 0 and d > -best[0][0]:
                 break
-            new = [x for x in self.links[j][level] if x not in seen]
+            new = [x for x in links[j][level] if x not in seen]
             if not new:
                 continue
             seen.update(new)
-            for dist, x in zip(self.far(v, new), new):
-                if len(best) < ef or dist < -best[0][0]:
+            for dist, x in zip(far(new), new):
+                if room > 0:
                     heapq.heappush(best, (-dist, x))
-                    heapq.heappush(todo, (dist, x))
-                    if len(best) > ef:
-                        heapq.heappop(best)
-        return sorted((float(-d), j) for d, j in best)
+                    room -= 1
+                elif dist < -best[0][0]:
+                    heapq.heapreplace(best, (-dist, x))
+                else:
+                    continue
+                heapq.heappush(todo, (dist, x))
+        return sorted((-d, j) for d, j in best)
 
     def nearest(self, v: np.ndarray, k: int, ef: int) -> list[tuple[float, int]]:
-        at = [self.entry]
+        far, at = self.distances(v, len(self.vectors)), [self.entry]
         for level in range(len(self.links[self.entry]) - 1, 0, -1):
-            at = [self.search(v, at, 1, level)[0][1]]
-        return self.search(v, at, max(k, ef), 0)[:k]
+            at = [self.search(far, at, 1, level)[0][1]]
+        return self.search(far, at, max(k, ef), 0)[:k]
 
 
 @dataclass
@@ -110,7 +129,7 @@ class ProximityGraph:
 
         def one(rows: pd.DataFrame) -> pd.DataFrame:
             rows = rows.sort_values("node")
-            graph = Layers(np.stack(rows["vector"].to_list()), [[list(x) for x in own] for own in rows["links"]])
+            graph = Layers(np.stack(rows["vector"].to_list()), [[x.tolist() for x in own] for own in rows["links"]])
             keys = rows["key"].to_numpy()
             out = [(q, int(keys[j]), d) for q, v in enumerate(wanted) for d, j in graph.nearest(v, k, ef)]
             return pd.DataFrame(out, columns=["query_id", "key", "dist"])
@@ -140,7 +159,7 @@ def proximity_graph(df: DataFrame, key: str, vector: str, m: int = 16, construct
         graph = Layers(np.stack(rows["vector"].to_list())).build(m, construction, seed)
         return rows.assign(node=range(len(rows)), links=graph.links)[["shard", "node", "key", "vector", "links"]]
 
-    placed = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(shards)).cast("int"))
+    placed = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(shards)).cast("int")).repartition(shards, "shard")
     return ProximityGraph(written(placed.groupBy("shard").applyInPandas(one, LINKS), "links"), ef)
 
 

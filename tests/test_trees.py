@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 
 from polymetric.functions.metrics import EDIT, EUCLID, L1, Metric
+from polymetric.operators import proximity
 from polymetric.operators.proximity import proximity_graph
 from polymetric.operators.trees import rectangle_tree, vantage_tree
 
@@ -89,3 +91,25 @@ def test_list_weights(data):
     even = recall_at(true, firsts(pairs, combined([0.5, 0.5], F.col("d")), 20))
     got = aggregate_lists(pairs, [3.0, 0.3], k=20, epochs=40, enough=0.0)
     assert got.accuracy > even and got.weights[0] > got.weights[1]
+
+
+def test_graph_asks_each_row_once(monkeypatch):
+    """A row's distances are formed once while a graph is built, and links keep theirs; large shards, which form those of visited rows, get the same links."""
+    rng, asked = np.random.default_rng(5), []
+    v = rng.normal(size=(300, 8))
+    v[200:240] = v[:40]
+    far = proximity.Layers.far
+    monkeypatch.setattr(proximity.Layers, "far", lambda self, *a: asked.append(1) or far(self, *a))
+    graph = proximity.Layers(v).build(4, 20, 1)
+    assert len(asked) == 299
+    found = [graph.nearest(x, 5, 40) for x in v[:20]]
+    assert len(asked) == 319 and all(d == far(graph, x, [j])[0] for x, near in zip(v, found) for d, j in near)
+    monkeypatch.setattr(proximity, "ALL", 0)
+    other = proximity.Layers(v).build(4, 20, 1)
+    assert other.links == graph.links and [other.nearest(x, 5, 40) for x in v[:20]] == found
+
+
+def test_a_shard_a_task(spark):
+    df = spark.range(1200).selectExpr("id", "array(rand(1), rand(2)) AS v")
+    plan = proximity.proximity_graph(df, "id", "v", m=4, construction=8, shard=50).links
+    assert plan.count() == 1200 and len(plan.inputFiles()) > 4  # before, no more tasks than the session's partitions
